@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import line_dedup, simhash
+from calendrix.llm import line_dedup, minhash, simhash
+from calendrix.llm.common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,18 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_fingerprints(spark, sf_dir):
+    prints = minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
+    prints = prints.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+    near = minhash.with_next_likeness(written(prints))
+    hexes = {c: minhash.hexed(c) for c in ("fingerprint", "edited_fingerprint")}
+    return near.withColumns(hexes).select("doc_id", "n_chars", "edited_sha256", *hexes, "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 LINE_DEDUP_SQL = r"""
