@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import line_dedup, minhash, simhash
+from calendrix.llm import line_dedup, minhash, simhash, token_counts, toxicity
 from calendrix.llm.common import written
 
 
@@ -22,6 +22,17 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_fingerprints(spark, sf_dir):
     prints = minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
     prints = prints.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
@@ -33,6 +44,8 @@ def op10_fingerprints(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
