@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import line_dedup, minhash, simhash, token_counts, toxicity
+from calendrix.llm import hmm, line_dedup, minhash, simhash, token_counts, toxicity
 from calendrix.llm.common import written
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_hmm_scores(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -44,6 +48,7 @@ def op10_fingerprints(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op7_hmm_scores": op7_hmm_scores,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
