@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import hmm, line_dedup, minhash, simhash, token_counts, toxicity
+from calendrix.llm import decontaminate, hmm, line_dedup, minhash, simhash, token_counts, toxicity
 from calendrix.llm.common import written
 
 
@@ -17,6 +17,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +51,7 @@ def op10_fingerprints(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op7_hmm_scores": op7_hmm_scores,
     "op8_token_counts": op8_token_counts,
