@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import decontaminate, hmm, line_dedup, minhash, simhash, token_counts, toxicity
+from calendrix.llm import decontaminate, hmm, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
 from calendrix.llm.common import written
 
 
@@ -17,6 +17,14 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: One large source is wanted twice as much as each of the others.
+MIX_WEIGHTS = {"src0": 2.0}
+
+
+def op2_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +34,10 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_hmm_scores(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -51,8 +63,10 @@ def op10_fingerprints(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_url_filter": op5_url_filter,
     "op7_hmm_scores": op7_hmm_scores,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
@@ -78,4 +92,37 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGI
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op4_line_dedup": LINE_DEDUP_SQL}
+MIX_SQL = r"""
+WITH RECURSIVE sizes AS (
+  SELECT source, CASE WHEN source = 'src0' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         CAST(sum(greatest(length(coalesce(text, '')), 1)) AS BIGINT) AS size
+  FROM documents GROUP BY source
+), rates AS (
+  SELECT source, weight / sum(weight) OVER () * (1.0::DOUBLE * CAST(sum(size) OVER () AS BIGINT)) / size AS rate FROM sizes
+), pieces AS (
+  SELECT source, CAST(greatest(ceil(rate / 16), 1) AS INTEGER) AS n, rate FROM rates
+), cdf AS (
+  SELECT source, n, 0 AS k, rate / n AS lam, exp(-(rate / n)) AS p, exp(-(rate / n)) AS c FROM pieces
+  UNION ALL
+  SELECT source, n, k + 1, lam, p * lam / (k + 1), c + p * lam / (k + 1) FROM cdf WHERE k < 79
+), tables AS (
+  SELECT source, n, list(c ORDER BY k) AS cs FROM cdf GROUP BY source, n
+), draws AS (
+  SELECT d.doc_id, d.source, t.cs, unnest(range(1, t.n + 1)) AS piece
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+), counts AS (
+  SELECT doc_id, CAST(sum(len(list_filter(cs, lambda c:
+           c <= CAST('0x' || md5('17:' || doc_id || ':' || piece)[1:13] AS BIGINT) / 4503599627370496.0::DOUBLE))) AS INTEGER) AS copies
+  FROM draws GROUP BY doc_id
+), copied AS (
+  SELECT doc_id, unnest(range(1, copies + 1)) AS copy_no FROM counts WHERE copies > 0
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.copy_no AS INTEGER) AS copy_no,
+       md5('17:' || d.doc_id || ':' || c.copy_no || ':order') AS mix_key
+FROM copied c JOIN documents d USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_mix_sources": MIX_SQL,
+    "op4_line_dedup": LINE_DEDUP_SQL,
+}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import whole_text
+from calendrix.llm.common import sent, whole_text
 
 Q, EDITS, MAX_GRAMS = 16, 0.05, 2_000_000
 #: Characters of normalised text looked at together.
@@ -207,10 +207,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float =
     texts = docs.select("doc_id", whole_text(docs).alias("text"))
     out = None
     for group in _item_groups(benchmark, max_grams):
-        shared = spark.sparkContext.broadcast(Index.of(group, q, edits))
+        shared = sent(spark, Index.of(group, q, edits))
 
         def run(batches, shared=shared):
-            index = shared.value
+            index = shared()
             for pdf in batches:
                 rows = [(pdf.doc_id.iat[row], index.ids[number], *rest) for row, number, *rest in leaks_of(pdf.text, index, q, edits)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])

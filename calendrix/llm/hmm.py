@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import durable, whole_text, written
+from calendrix.llm.common import durable, sent, whole_text, written
 
 STATES, VOCABULARY, CLASSES, ROUNDS = 8, 50_000, 256, 2
 SEED_DOCS, SEED_TOKENS, SEED_ROUNDS = 400, 5000, 12
@@ -202,14 +202,14 @@ def _sequences(pdf) -> list[np.ndarray]:
 
 def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
     """The model re-estimated from the expected counts of all rows of coded(symbols)."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = sent(coded.sparkSession, model)
     k, symbols = model.emits.shape
 
     def run(batches):
-        totals = None
+        hmm, totals = shared(), None
         for pdf in batches:
             for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 4000)):
-                got = expected_counts(shared.value, _sequences(pdf.iloc[part]))
+                got = expected_counts(hmm, _sequences(pdf.iloc[part]))
                 totals = got if totals is None else tuple(a + b for a, b in zip(totals, got))
         if totals is not None:
             start, moves, emits = totals
@@ -290,10 +290,10 @@ def score(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, r
     for _ in range(rounds):
         model = baum_welch_round(learn, model, prior)
 
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.where(lexicon.counts > 0, 1, 0), lexicon.log10_base(lexicon.counts)))
+    shared = sent(docs.sparkSession, (model, np.where(lexicon.counts > 0, 1, 0), lexicon.log10_base(lexicon.counts)))
 
     def run(batches):
-        hmm, known, base = shared.value
+        hmm, known, base = shared()
         own = np.arange(len(known)) > CLASSES
         own[0] = True
         known, base = np.where(own, known, 0), np.where(own, base, 0.0)
