@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import decontaminate, hmm, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
+from calendrix.llm import decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
 from calendrix.llm.common import written
 
 
@@ -38,6 +38,11 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_licences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op7_hmm_scores(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_licences": op6_licences,
     "op7_hmm_scores": op7_hmm_scores,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,

@@ -133,3 +133,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     for batch in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)) == batch))
     return without_lines(docs, lines, runs.rare_lines(lines, min_docs))
+
+
+def with_sizes(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """docs with n_chars, where before has it, counted anew from the text; its columns as before."""
+    if "n_chars" in before.columns:
+        kind = before.schema["n_chars"].dataType
+        docs = docs.withColumn("n_chars", F.char_length("text").cast(kind))
+    return docs.select(*before.columns)
