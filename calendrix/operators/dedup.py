@@ -170,21 +170,22 @@ def clusters(events: DataFrame, edges: DataFrame, components: DataFrame, bound:
 
 
 def _settled(events: DataFrame, links: DataFrame) -> DataFrame:
-    """clusters() by joins: heads are the events without an earlier undecided neighbour."""
+    """clusters() by joins: an event heads a cluster if no earlier neighbour does. A round settles
+    those without undecided earlier neighbours; members then go to their earliest head."""
     place = lambda df, name: df.select(F.col("id").alias(name), F.struct("start", "id").alias(name + "_at"))
     left = events.select("id", "start").checkpoint()
     pairs = links.select("id", "near").where("id <> near").checkpoint()
-    out = None
+    heads = left.limit(0)
     while not left.isEmpty():
         open_ = pairs.join(place(left, "id"), "id").join(place(left, "near"), "near")
         blocked = open_.where("near_at < id_at").select("id").distinct()
-        heads = left.join(blocked, "id", "left_anti").select("id")
-        members = open_.join(heads.select(F.col("id").alias("near")), "near").groupBy("id").agg(F.min("near_at").alias("h"))
-        members = members.join(heads, "id", "left_anti").select("id", F.col("h.id").alias("head"))
-        both = members.union(members.select("head", "head").distinct()).checkpoint()
-        out = both if out is None else out.union(both)
-        left = left.join(both.select("id").union(heads), "id", "left_anti").checkpoint()
-    return out
+        new = left.join(blocked, "id", "left_anti").checkpoint()
+        heads = heads.union(new)
+        members = open_.join(new.select(F.col("id").alias("near")), "near", "left_semi").select("id")
+        left = left.join(members.union(new.select("id")), "id", "left_anti").checkpoint()
+    near = pairs.join(place(heads, "near"), "near").groupBy("id").agg(F.min("near_at").alias("h"))
+    members = near.join(heads, "id", "left_anti").select("id", F.col("h.id").alias("head"))
+    return members.union(members.select("head", "head").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

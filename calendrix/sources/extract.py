@@ -114,7 +114,7 @@ def _event(item: dict, url: str, name: str | None) -> dict:
         "start_time": _text(first(*DATE_KEYS)),
         "end_time": _text(first("endDate", "end_at", "endTime", "end_time")),
         "venue_name": _text(place.get("name")) if isinstance(place, dict) else _text(place),
-        "address": _address(place.get("address") or place) if isinstance(place, dict) else None,
+        "address": _address(place["address"] if isinstance(place.get("address"), dict) else place) if isinstance(place, dict) else None,
         "is_free": free if isinstance(free, bool) else None,
         "organizer": _text(first("organizer", "calendar")) or name,
         "image_url": _text(first("image", "cover_url", "imageUrl")),
