@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calendrix.llm import decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
-from calendrix.llm.common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +58,8 @@ def op9_toxicity(spark, sf_dir):
 
 
 def op10_fingerprints(spark, sf_dir):
-    prints = minhash.fingerprints_with_next(table(spark, sf_dir, "documents"))
-    prints = prints.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
-    near = minhash.with_next_likeness(written(prints))
+    near = minhash.compare_with_next(table(spark, sf_dir, "documents"))
+    near = near.withColumn("edited_sha256", F.sha2("edited_text", 256))
     hexes = {c: minhash.hexed(c) for c in ("fingerprint", "edited_fingerprint")}
     return near.withColumns(hexes).select("doc_id", "n_chars", "edited_sha256", *hexes, "near_edited", "near_next")
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import ascii_lower, durable, whole_text
+from calendrix.llm.common import BROADCAST_ROWS, ascii_lower, whole_text
 
 WORDS, BINS = 5, 128
 LOWEST = 0x0101010101010101
@@ -82,58 +82,57 @@ def hexed(fingerprint: str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def next_in_order(ids: DataFrame, per_bucket: int = 50_000) -> DataFrame:
-    """(doc_id, next_id) for distinct ids in descending order, the least followed by the greatest.
+def _sentinels(ids: DataFrame, place: Column) -> DataFrame:
+    """(head_id, range): for each range of ids, the first id after it in descending order, which
+    is the greatest of the next lower range that has any; the least range is followed by the
+    greatest id. No more rows than ranges."""
+    heads = ids.groupBy(place.alias("own")).agg(F.max("doc_id").alias("id"))
+    order = Window.orderBy(F.desc("own"))
+    after = heads.select(F.col("own").alias("range"), F.lead("id").over(order).alias("next"), F.first("id").over(order).alias("top"))
+    return after.select("range", F.coalesce("next", "top").alias("head_id"))
 
-    Ids are ordered within equal ranges of their values; a row for each range joins the ranges.
+
+def with_next(docs: DataFrame, columns: list[str], per_range: int = 1000, most: int = BROADCAST_ROWS) -> DataFrame:
+    """docs(doc_id, text, ...) with next_<column> for each of columns, from the next document.
+
+    The order is by descending doc_id, rows of one doc_id by descending text hash, and the first
+    row follows the last. Ids are cut into equal ranges of about per_range rows, at most `most`
+    of them; rows meet their followers within a range, and the row after a range's last one is
+    sent to it as well. Rows with a null doc_id have no next document.
     """
-    lo, hi, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    missing = [F.lit(None).cast(docs.schema[c].dataType).alias("next_" + c) for c in columns]
+    unnamed = docs.where("doc_id IS NULL").select("*", *missing)
     if not n:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    ranges = -(-n // per_bucket)
+        return unnamed
+    ranges = max(1, min(-(-n // per_range), most))
     place = F.floor((F.col("doc_id").cast("double") - float(lo)) / (float(hi) - float(lo) + 1) * ranges)
-    placed = ids.withColumn("range", place)
-    heads = placed.groupBy("range").agg(F.max("doc_id").alias("head"))
-    heads = heads.select("range", F.lead("head").over(Window.orderBy(F.desc("range"))).alias("next_head"))
-    order = Window.partitionBy("range").orderBy(F.desc("doc_id"))
-    led = placed.withColumn("lead_id", F.lead("doc_id").over(order)).join(heads, "range")
-    return led.select("doc_id", F.coalesce("lead_id", "next_head", F.lit(hi)).alias("next_id"))
+    named = docs.where("doc_id IS NOT NULL")
+    after = _sentinels(named.select("doc_id"), place)
+    rows = named.withColumns({"_range": place, "_sent": F.lit(0)})
+    sent = named.join(F.broadcast(after), named.doc_id == after.head_id)  # at most `most` rows
+    rows = rows.unionByName(sent.withColumns({"_range": F.col("range"), "_sent": F.lit(1)}).drop("range", "head_id"))
+    order = Window.partitionBy("_range").orderBy("_sent", F.desc("doc_id"), F.desc(F.xxhash64("text")))
+    led = rows.withColumns({"next_" + c: F.lead(c).over(order) for c in columns}).where("_sent = 0")
+    return led.drop("_range", "_sent").unionByName(unnamed)
 
 
-def fingerprints_with_next(docs: DataFrame, words: int = WORDS, bins: int = BINS) -> DataFrame:
+def compare_with_next(docs: DataFrame, words: int = WORDS, bins: int = BINS) -> DataFrame:
     """Fingerprints of docs(doc_id, text) and of their edited texts, one row for each row of docs.
 
     The edited text has the last floor(n_chars/3) code points replaced by as many of the start of
-    the next document, or all of it if it is shorter; next is the next lower doc_id, and the
-    greatest after the least. Returns doc_id, next_id, n_chars, rank, edited_text, fingerprint and
-    edited_fingerprint (arrays of longs); with_next_likeness() adds the comparisons. Null texts count as empty. Of rows that share a doc_id, the
-    one with the greatest text hash is the next document of the id above it; rows with a null
-    doc_id have no next document: an empty text stands in. Other columns are not read.
+    the next document (see with_next), or by all of it if it is shorter. Returns doc_id, n_chars,
+    edited_text, fingerprint, edited_fingerprint (arrays of longs), near_edited and near_next: the
+    likeness of the fingerprint to those of the edited text and of the next document. Null texts
+    count as empty, and so does the next document of a null doc_id. Other columns are not read.
     """
-    base = docs.select("doc_id", whole_text(docs).alias("text"))
-    sizes = base.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 3)).cast("int").alias("need"))
-    sizes = durable(sizes)
-    links = durable(next_in_order(sizes.select("doc_id")).join(sizes, "doc_id"))
-    before = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "need")
-    prefixes = (
-        base.join(before.hint("merge"), "doc_id")
-        .select("for_id", F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.xxhash64("text").alias("rank"))
-        .groupBy("for_id")
-        .agg(F.max_by("prefix", "rank").alias("prefix"))
-    )
-    own = base.join(links.select("doc_id", "next_id").hint("merge"), "doc_id", "left")
-    own = own.join(prefixes.hint("merge"), own.doc_id == prefixes.for_id, "left").select("doc_id", "next_id", "text", "prefix")
+    base = with_fingerprint(docs.select("doc_id", whole_text(docs).alias("text")), "text", "fingerprint", words, bins)
+    led = with_next(base, ["text", "fingerprint"])
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("prefix", F.lit("")), F.lit(1), cut))
-    own = own.select("doc_id", "next_id", "text", n.cast("bigint").alias("n_chars"), F.xxhash64("text").alias("rank"), edited.alias("edited_text"))
-    own = with_fingerprint(own, "text", "fingerprint", words, bins)
-    return with_fingerprint(own.drop("text"), "edited_text", "edited_fingerprint", words, bins)
-
-
-def with_next_likeness(prints: DataFrame, bins: int = BINS) -> DataFrame:
-    """prints(doc_id, next_id, rank, fingerprint, edited_fingerprint, ...) with near_edited and near_next."""
-    after = prints.groupBy(F.col("doc_id").alias("after_id")).agg(F.max_by("fingerprint", "rank").alias("after"))
-    met = prints.join(after, prints.next_id == after.after_id, "left").withColumn("after", F.coalesce("after", F.array().cast("array<bigint>")))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
+    after = F.coalesce("next_fingerprint", F.array().cast("array<bigint>"))
+    made = led.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited_text"), "fingerprint", after.alias("after"))
+    made = with_fingerprint(made, "edited_text", "edited_fingerprint", words, bins)
     near = {"near_edited": likeness("fingerprint", "edited_fingerprint", bins), "near_next": likeness("fingerprint", "after", bins)}
-    return met.withColumns(near).drop("after", "after_id", "next_id", "rank")
+    return made.withColumns(near).drop("after")
