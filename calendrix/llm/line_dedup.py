@@ -18,16 +18,22 @@ from calendrix.llm.common import ASCII_SPACE, ascii_lower, whole_text, written
 MIN_DOCS, MIN_CHARS, FAN_IN, BATCHES = 10, 1, 3, 4
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.trim(line, F.lit(ASCII_SPACE)))
+def _stripped(line: Column) -> Column:
+    """The line without white space at its ends; trim() reads all of a line, so it is used only
+    where there is some."""
+    bare = reduce(Column.__or__, [line.startswith(c) | line.endswith(c) for c in ASCII_SPACE])
+    return F.when(bare, F.trim(line, F.lit(ASCII_SPACE))).otherwise(line)
+
+
+def line_keys(lines: Column) -> Column:
+    """Each line of an array without white space at its ends, A-Z lower-cased."""
+    return F.transform(F.transform(lines, _stripped), ascii_lower)
 
 
 def _line_hash(min_chars: int):
-    """128 bits of the line's key; null for a key under min_chars code points."""
+    """128 bits of a line's key; null for a key under min_chars code points."""
 
-    def of(line: Column) -> Column:
-        key = line_key(line)
+    def of(key: Column) -> Column:
         pair = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
         return F.when(F.char_length(key) >= min_chars, pair)
 
@@ -40,7 +46,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(
         "doc_id",
         F.xxhash64(text).alias("text_hash"),
-        F.transform(F.split(text, "\n"), _line_hash(min_chars)).alias("hashes"),
+        F.transform(line_keys(F.split(text, "\n")), _line_hash(min_chars)).alias("hashes"),
     )
 
 
@@ -79,7 +85,8 @@ class LineRuns:
         each = lines.select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "h")).where("h is not null")
         each = each.select("doc_id", "text_hash", "at", "h.h1", "h.h2")
         if self.levels:
-            each = each.join(self.frequent(min_docs).hint("merge"), ["h1", "h2"], "left_anti")
+            # Written first, so that both sides of the join are plain shuffles, whose hot keys Spark splits.
+            each = each.join(written(self.frequent(min_docs)).hint("merge"), ["h1", "h2"], "left_anti")
         return each.select("doc_id", "text_hash", "at")
 
     def ingest(self, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -106,13 +113,13 @@ def without_lines(docs: DataFrame, lines: DataFrame, rare: DataFrame) -> DataFra
     )
     own = docs.withColumns({"_text": whole_text(docs), "_hash": F.xxhash64(whole_text(docs))})
     both = own.join(hit, own["doc_id"].eqNullSafe(hit["l_id"]) & (own["_hash"] == hit["l_hash"]), "left")
-    split = F.split("_text", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped_at"))
-    cut = F.array_join(F.transform(rest, lambda i: F.get(split, i)), "\n")
+    both = both.withColumn("_parts", F.split("_text", "\n"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("dropped_at"))
+    cut = F.array_join(F.transform(rest, lambda i: F.get("_parts", i)), "\n")
     return both.withColumns(
         {
             "text": F.when(F.col("dropped_at").isNull(), F.col("_text")).otherwise(cut),
-            "n_lines": F.size(split).cast("bigint"),
+            "n_lines": F.size("_parts").cast("bigint"),
             "n_dropped": F.coalesce(F.size("dropped_at"), F.lit(0)).cast("bigint"),
         }
     ).select(*docs.columns, "n_lines", "n_dropped")
