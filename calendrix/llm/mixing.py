@@ -66,26 +66,21 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     named copy_no or mix_key are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("copy_no", "mix_key")
+    own_source, pieces, table, salt, their_salt, n = (fresh(docs, x) for x in ("own_source", "pieces", "table", "salt", "their_salt", "copies"))
     rates = source_rates(docs, weights, default_weight, epochs)
-    pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
-    rates = durable(
-        rates.withColumn("_pieces", pieces)
-        .withColumn("_table", _distribution(F.col("rate") / F.col("_pieces")))
-        .select(F.col("source").alias("_source"), "_pieces", "_table")
-    )
+    rates = rates.withColumn(pieces, F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int"))
+    rates = durable(rates.select(F.col("source").alias(own_source), pieces, _distribution(F.col("rate") / F.col(pieces)).alias(table)))
+    same = docs["source"].eqNullSafe(F.col(own_source))
     if rates.count() <= broadcast_rows:
-        met = docs.join(F.broadcast(rates), docs["source"].eqNullSafe(rates["_source"]), "left")
+        met = docs.join(F.broadcast(rates), same, "left")
     else:  # too many sources to send everywhere: hot ones are spread over salts
-        salt = fresh(docs, "_salt")
-        salted = rates.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        docs_s = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        met = docs_s.join(salted, docs_s["source"].eqNullSafe(salted["_source"]) & (docs_s[salt] == salted["_s"]), "left").drop(salt, "_s")
+        salted = rates.withColumn(their_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs_s = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        met = docs_s.join(salted, same & (F.col(salt) == F.col(their_salt)), "left")
     doc, key = F.col("doc_id"), F.lit(seed)
-
-    def draw(piece: Column) -> Column:
-        return F.size(F.filter("_table", lambda c: c <= uniform(key, doc, piece)))
-
-    n = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda total, i: total + draw(i))
-    copies = met.withColumn("_n", n).where("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    # One number for each piece, hashed once; its draw is how much of the table lies at or below it.
+    numbers = F.transform(F.sequence(F.lit(1), F.col(pieces)), lambda piece: uniform(key, doc, piece))
+    draws = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter(table, lambda c: c <= u)))
+    copies = met.withColumn(n, draws).where(F.col(n) > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(n))))
     keyed = copies.withColumn("mix_key", _hashed(key, doc, F.col("copy_no"), F.lit("order")))
     return keyed.select(*docs.columns, "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")

@@ -2,6 +2,8 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
+
 from calendrix.llm import mixing
 
 
@@ -43,6 +45,20 @@ def test_matches_brute_force_with_and_without_broadcast(spark):
     assert sum(len(r.text or "") for r in got if r.source == "s3") > 2 * sum(len(r.text or "") for r in got if r.source == "s4")
 
 
+HELPERS = ["own_source", "pieces", "table", "salt", "their_salt", "copies", "rate", "weight", "size", "n", "all_weights", "_n", "_table", "_source"]
+
+
+@pytest.mark.parametrize("bound", [100, 1])
+def test_columns_of_any_name_come_back_unchanged(spark, bound):
+    docs = spark.createDataFrame([(i, "t", f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    named = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in HELPERS])
+    got = mixing.mix(named, {"s1": 2.0}, broadcast_rows=bound)
+    assert got.columns == [*named.columns, "copy_no", "mix_key"]
+    rows = got.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in mixing.mix(docs, {"s1": 2.0}).collect())
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in HELPERS)
+
+
 def test_counts_are_poisson(spark):
     docs = spark.createDataFrame([(i, "x", "a") for i in range(4000)], "doc_id long, text string, source string")
     counts = Counter(r.doc_id for r in mixing.mix(docs, {}, epochs=3.0).collect())
