@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +18,24 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 20_000
 
 
+#: Folders of the tables written here, which are removed when the program ends.
+_folders: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that spark.checkpoint.dir (or setCheckpointDir) names, which all executors share.
+
+    Where none is set, a temporary folder serves a local session; on a cluster that is an error.
+    """
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="calendrix-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calendrix-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -32,17 +44,69 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like durable(), as compressed columns: for wide or text-heavy tables."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _new_folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _folders[path] = spark
+    return path
+
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Like durable(), as compressed columns: for wide or text-heavy tables. by: a column of few
+    values, each of which is to be read on its own."""
+    path = _new_folder(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sent(spark: SparkSession, value) -> Callable:
-    """A function that gives value in tasks, once sent to each executor; value's classes go along."""
-    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(packed.value)
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Like written(), with one sorted file for each bucket of the keys, so that tables of the same
+    buckets are joined and grouped by them without a shuffle."""
+    path = _new_folder(df.sparkSession)
+    name = "t_" + path.rsplit("-", 1)[-1]
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _remove(path: str) -> None:
+    spark = _folders.pop(path)
+    spark.sql(f"DROP TABLE IF EXISTS t_{path.rsplit('-', 1)[-1]}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table behind a result of written() or bucketed() that is no longer read."""
+    for file in df.inputFiles()[:1]:
+        for path in [p for p in _folders if p.rsplit("/", 1)[-1] == file.rsplit("/", 2)[-2]]:
+            _remove(path)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Removes all tables written here; results that still read them must have been saved."""
+    for path in list(_folders):
+        try:
+            _remove(path)
+        except Exception:  # the JVM has gone first; the folder is left to the cluster
+            _folders.pop(path, None)
+
+
+class Sent:
+    """A value that was sent once to each executor, where calling this gives it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __call__(self):
+        return pickle.loads(self.packed.value)
+
+    def unpersist(self) -> None:
+        """Frees the executors' copies; a task that still needs the value fetches it again."""
+        self.packed.unpersist()
+
+
+def sent(spark: SparkSession, value) -> Sent:
+    return Sent(spark, value)
 
 
 def whole_text(df: DataFrame, text: str = "text") -> Column:

@@ -42,10 +42,39 @@ def test_empty_table_and_other_columns(spark):
 
 
 def test_batches_meet_what_came_before(spark):
-    runs = line_dedup.LineRuns(fan_in=2)
+    runs = line_dedup.LineRuns(spark, fan_in=2)
     for batch in range(5):
         docs = spark.createDataFrame([(batch, f"shared\nown {batch}")], "doc_id long, text string")
         text = runs.ingest(docs, min_docs=2).first().text
         assert text == (f"shared\nown {batch}" if batch < 2 else f"own {batch}")
     assert sum(map(len, runs.levels)) <= 3
-    assert {r.n for r in runs._merged([r for level in runs.levels for r in level]).collect()} == {1, 5}
+    with line_dedup._sorted_runs(spark):
+        assert {r.n for r in runs._merged(runs.runs()).collect()} == {1, 5}
+
+
+def test_runs_are_not_shuffled_or_sorted_again(spark):
+    runs = line_dedup.LineRuns(spark, buckets=3)
+    for batch in range(2):
+        docs = spark.createDataFrame([(i, f"shared\nown {batch} {i}") for i in range(40)], "doc_id long, text string")
+        run = runs._run_of(line_dedup.hashed_lines(docs))
+        if batch:
+            before = spark.conf.get("spark.sql.unionOutputPartitioning")
+            with line_dedup._sorted_runs(spark):
+                met = runs._before(run)
+                assert {r.seen for r in met.collect()} == {0, 40}
+                plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+            assert spark.conf.get("spark.sql.unionOutputPartitioning") == before
+        runs._put(run)
+
+
+HELPERS = ["_text", "_hash", "_parts", "dropped_at", "l_id", "l_hash", "own_id", "own_hash", "others", "whole", "parts", "h1", "h2", "at", "hashes", "text_hash", "rare_at", "hashed_at", "batch", "n"]
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    rows = rows_with_shared_lines()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in HELPERS])
+    out = line_dedup.drop_frequent_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert digest(out) == plain(rows, 10)
+    assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in out.collect() for c in HELPERS)
