@@ -15,9 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import BROADCAST_ROWS, ascii_lower, whole_text
+from calendrix.llm.common import ascii_lower, durable, fresh, whole_text, written
 
 WORDS, BINS = 5, 128
+#: Ranges of documents, whose least keys are sent to every executor: 24 bytes each for numeric ids.
+MOST_RANGES = 200_000
 LOWEST = 0x0101010101010101
 
 
@@ -33,30 +35,31 @@ def with_fingerprint(df: DataFrame, text: str, name: str, words: int = WORDS, bi
     Words are divided by ASCII white space, A-Z lower-cased. A text of fewer words than a shingle
     is one shingle; null texts and texts without words get an empty array.
     """
-    kept = [c for c in df.columns if c != name]
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    w_, h_, b_ = fresh(df, "words"), fresh(df, "hashes"), fresh(df, "bytes")
     width, first_probes = 64 - (bins.bit_length() - 1), 16
     bin_of = lambda h: F.shiftrightunsigned(h, width)
     orders = probe_order(bins)
     array = lambda rows: F.expr("array(%s)" % ", ".join(f"array({', '.join(map(str, row))})" for row in rows))
     split = F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+")
-    df = df.withColumn("_w", F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    df = df.withColumn(w_, F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w)))
     # get() past the end gives null, which the hash passes over: a short text is one shingle.
-    shingle = lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(words)])
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - words, F.lit(0)))
-    df = df.withColumn("_h", F.sort_array(F.when(F.size("_w") > 0, F.transform(starts, shingle)).otherwise(F.array().cast("array<bigint>"))))
+    shingle = lambda i: F.xxhash64(*[F.get(w_, i + k) for k in range(words)])
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w_) - words, F.lit(0)))
+    df = df.withColumn(h_, F.sort_array(F.when(F.size(w_) > 0, F.transform(starts, shingle)).otherwise(F.array().cast("array<bigint>"))))
     # In sorted order the first hash of each bin is its least.
-    df = df.withColumn("_h", F.filter("_h", lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get("_h", i - 1)))))
+    df = df.withColumn(h_, F.filter(h_, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(h_, i - 1)))))
     # One long for each bin, in order: the bin, whether it has a hash, eight bits of the hash.
-    full = F.transform("_h", lambda h: bin_of(h) * 512 + 256 + h.bitwiseAND(F.lit(255)))
-    empty = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")), F.transform("_h", bin_of))
-    df = df.withColumn("_b", F.sort_array(F.concat(full, F.transform(empty, lambda b: b * 512))))
-    held = lambda j: F.get("_b", j).bitwiseAND(F.lit(256)) != 0
+    full = F.transform(h_, lambda h: bin_of(h) * 512 + 256 + h.bitwiseAND(F.lit(255)))
+    empty = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")), F.transform(h_, bin_of))
+    df = df.withColumn(b_, F.sort_array(F.concat(full, F.transform(empty, lambda b: b * 512))))
+    held = lambda j: F.get(b_, j).bitwiseAND(F.lit(256)) != 0
     probe = lambda rows, i: F.get(F.filter(F.get(array(rows), i), held), F.lit(0))
     source = lambda i: F.coalesce(probe([r[:first_probes] for r in orders], i), probe(orders, i))
-    df = df.withColumn("_b", F.transform("_b", lambda b, i: F.when(b.bitwiseAND(F.lit(256)) != 0, b).otherwise(F.get("_b", source(i))).bitwiseAND(F.lit(255))))
-    lane = lambda g, k: F.shiftleft(F.get("_b", g * 8 + k), 8 * k)
+    df = df.withColumn(b_, F.transform(b_, lambda b, i: F.when(b.bitwiseAND(F.lit(256)) != 0, b).otherwise(F.get(b_, source(i))).bitwiseAND(F.lit(255))))
+    lane = lambda g, k: F.shiftleft(F.get(b_, g * 8 + k), 8 * k)
     packed = F.transform(F.sequence(F.lit(0), F.lit(bins // 8 - 1)), lambda g: reduce(Column.bitwiseOR, [lane(g, k) for k in range(8)]))
-    return df.withColumn(name, F.when(F.size("_h") > 0, packed).otherwise(F.array().cast("array<bigint>"))).select(*kept, name)
+    return df.withColumn(name, F.when(F.size(h_) > 0, packed).otherwise(F.array().cast("array<bigint>"))).select(*kept, name)
 
 
 def likeness(a: str, b: str, bins: int = BINS) -> Column:
@@ -82,39 +85,53 @@ def hexed(fingerprint: str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def _sentinels(ids: DataFrame, place: Column) -> DataFrame:
-    """(head_id, range): for each range of ids, the first id after it in descending order, which
-    is the greatest of the next lower range that has any; the least range is followed by the
-    greatest id. No more rows than ranges."""
-    heads = ids.groupBy(place.alias("own")).agg(F.max("doc_id").alias("id"))
-    order = Window.orderBy(F.desc("own"))
-    after = heads.select(F.col("own").alias("range"), F.lead("id").over(order).alias("next"), F.first("id").over(order).alias("top"))
-    return after.select("range", F.coalesce("next", "top").alias("head_id"))
+def _cuts(keys: DataFrame, ranges: int) -> DataFrame:
+    """One row: the greatest key(doc_id, digest) of each of about `ranges` ranges of keys of equal
+    size, in descending order; blocks: those keys in blocks of about the root of their number."""
+    ranged = keys.repartitionByRange(ranges, F.desc("doc_id"), F.desc("digest"))
+    heads = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.max(F.struct("doc_id", "digest")).alias("key"))
+    listed = heads.agg(F.sort_array(F.collect_set("key"), asc=False).alias("cuts"))  # `ranges` keys at most
+    n = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, n), lambda at: F.slice("cuts", at + 1, n))
+    return durable(listed.select(n.alias("width"), F.size("cuts").alias("n_cuts"), blocks.alias("blocks")))
 
 
-def with_next(docs: DataFrame, columns: list[str], per_range: int = 1000, most: int = BROADCAST_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], per_range: int = 10_000, most: int = MOST_RANGES) -> DataFrame:
     """docs(doc_id, text, ...) with next_<column> for each of columns, from the next document.
 
     The order is by descending doc_id, rows of one doc_id by descending text hash, and the first
-    row follows the last. Ids are cut into equal ranges of about per_range rows, at most `most`
-    of them; rows meet their followers within a range, and the row after a range's last one is
-    sent to it as well. Rows with a null doc_id have no next document.
+    row follows the last. Rows are cut into ranges of about per_range rows, at most `most` of them,
+    at keys that Spark's range partitioning gives, so that they are of one size whatever the ids
+    are; rows meet their followers within a range, to which the row after its last one is sent as
+    well. Rows that repeat both doc_id and text are in one range. Rows with a null doc_id have no
+    next document. Columns named next_<column> are replaced.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    docs = docs.drop(*["next_" + c for c in columns])
     missing = [F.lit(None).cast(docs.schema[c].dataType).alias("next_" + c) for c in columns]
     unnamed = docs.where("doc_id IS NULL").select("*", *missing)
+    named = docs.where("doc_id IS NOT NULL")
+    digest = F.xxhash64(whole_text(docs))
+    keys = written(named.select("doc_id", digest.alias("digest")))
+    n = keys.count()
     if not n:
         return unnamed
-    ranges = max(1, min(-(-n // per_range), most))
-    place = F.floor((F.col("doc_id").cast("double") - float(lo)) / (float(hi) - float(lo) + 1) * ranges)
-    named = docs.where("doc_id IS NOT NULL")
-    after = _sentinels(named.select("doc_id"), place)
-    rows = named.withColumns({"_range": place, "_sent": F.lit(0)})
-    sent = named.join(F.broadcast(after), named.doc_id == after.head_id)  # at most `most` rows
-    rows = rows.unionByName(sent.withColumns({"_range": F.col("range"), "_sent": F.lit(1)}).drop("range", "head_id"))
-    order = Window.partitionBy("_range").orderBy("_sent", F.desc("doc_id"), F.desc(F.xxhash64("text")))
-    led = rows.withColumns({"next_" + c: F.lead(c).over(order) for c in columns}).where("_sent = 0")
-    return led.drop("_range", "_sent").unionByName(unnamed)
+    width, n_cuts, blocks, own, place, sent = (fresh(docs, x) for x in ("width", "n_cuts", "blocks", "own_key", "place", "sent"))
+    cuts = _cuts(keys, max(1, min(-(-n // per_range), most))).toDF(width, n_cuts, blocks)
+    rows = named.crossJoin(F.broadcast(cuts))  # one row of at most `most` keys
+    rows = rows.withColumn(own, F.struct(named["doc_id"].alias("doc_id"), digest.alias("digest")))
+    # How many heads are not below the key: first of the blocks, then within the last such block.
+    above = lambda heads: F.size(F.filter(heads, lambda head: head >= F.col(own))) - 1
+    block = above(F.transform(blocks, lambda b: b[0]))
+    rows = rows.withColumn(place, block)
+    within = above(F.get(blocks, F.col(place)))
+    is_head = F.get(F.get(blocks, F.col(place)), within) == F.col(own)
+    at = F.col(place) * F.col(width) + within
+    here, before = F.struct(at.alias("at"), F.lit(0).alias("sent")), F.struct(F.pmod(at - 1, F.col(n_cuts)).alias("at"), F.lit(1).alias("sent"))
+    rows = rows.withColumn(place, F.explode(F.when(is_head, F.array(here, before)).otherwise(F.array(here))))
+    rows = rows.select(*docs.columns, own, F.col(place)["at"].alias(place), F.col(place)["sent"].alias(sent))
+    order = Window.partitionBy(place).orderBy(sent, F.desc(own))
+    led = rows.withColumns({"next_" + c: F.lead(c).over(order) for c in columns}).where(F.col(sent) == 0)
+    return led.drop(own, place, sent).unionByName(unnamed)
 
 
 def compare_with_next(docs: DataFrame, words: int = WORDS, bins: int = BINS) -> DataFrame:

@@ -87,6 +87,22 @@ def test_ids_are_linked_across_ranges(spark):
         assert len(rows) == len(ids)
 
 
+@pytest.mark.parametrize("ids", [[*range(3000), 10**17], [*range(500), *range(10**12, 10**12 + 500)], [f"doc-{i * i}" for i in range(900)], [7] * 300 + [9]])
+def test_ranges_are_of_one_size_for_any_ids(spark, ids):
+    rows = [(x, f"text {n}") for n, x in enumerate(ids)]
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if isinstance(ids[0], str) else 'long'}, text string").repartition(5)
+    digest = dict(docs.select("text", F.xxhash64("text")).collect())
+    order = sorted(rows, key=lambda r: ([*map(ord, r[0])] if isinstance(r[0], str) else r[0], digest[r[1]]), reverse=True)
+    want = {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]])}
+    got = minhash.with_next(docs.selectExpr("*", "text AS place", "1 AS sent", "2 AS own_key"), ["text"], per_range=50).collect()
+    assert {r.text: r.next_text for r in got} == want and len(got) == len(rows)
+    assert all(r.place == r.text and (r.sent, r.own_key) == (1, 2) for r in got)
+    keys = docs.select("doc_id", F.xxhash64("text").alias("digest"))
+    cuts = sorted((h for b in minhash._cuts(keys, 20).first().blocks for h in b), reverse=True)
+    sizes = [sum(lo < (r[0], digest[r[1]]) <= hi for r in rows) for hi, lo in zip(cuts, cuts[1:])] if not isinstance(ids[0], str) else [0]
+    assert len(cuts) > 5 and max(sizes) < len(rows) / 4
+
+
 def test_repeated_and_null_ids_and_empty_table(spark):
     rows = [(2, "a b c d e f"), (2, "a b c d e f"), (1, "q r s"), (1, "longer text of one"), (None, "x y z")]
     out = run(spark.createDataFrame(rows, "doc_id long, text string"))
