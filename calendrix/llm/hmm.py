@@ -29,9 +29,11 @@ STATES, VOCABULARY, CLASSES, ROUNDS = 8, 50_000, 256, 2
 SEED_DOCS, SEED_TOKENS, SEED_ROUNDS = 400, 5000, 12
 FOLDS, HELD_OUT = 5, 1
 #: Tokens whose forward and backward tables are held at once.
-BLOCK = 400_000
+BLOCK = 250_000
 #: Distinct words counted in a task before they are handed on.
-FLUSH = 500_000
+FLUSH = 100_000
+#: Texts that a task turns into symbols at a time.
+SLICE = 500
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -88,6 +90,13 @@ class Lexicon:
         return np.log10((np.asarray(c) + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
 
+def _slices(batches):
+    """The batches in parts of up to SLICE rows, so that what is made of one is handed on first."""
+    for pdf in batches:
+        for at in range(0, len(pdf), SLICE):
+            yield pdf.iloc[at : at + SLICE]
+
+
 def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs(row, doc_id, train, text) with n tokens, symbols (16-bit numbers, the end included) and
     rare (the words that are no symbols of their own, divided by spaces) instead of text."""
@@ -95,7 +104,7 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         symbols = shared.value
-        for pdf in batches:
+        for pdf in _slices(batches):
             coded, rare = [], []
             for text in pdf.text:
                 own = words_of(text)
@@ -180,8 +189,6 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]):
             scale[here] = a.sum(1)
             alpha[here] = a / scale[here][:, None]
         beta = np.ones((begin[steps] - begin[steps - 1], k))
-        gamma = np.empty_like(alpha)
-        gamma[begin[steps - 1] :] = alpha[begin[steps - 1] :]
         for t in range(steps - 2, -1, -1):
             here, n = slice(begin[t], begin[t + 1]), begin[t + 2] - begin[t + 1]
             after = slice(begin[t + 1], begin[t + 2])
@@ -189,10 +196,10 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]):
             moves += alpha[begin[t] : begin[t] + n].T @ message
             beta = np.ones((begin[t + 1] - begin[t], k))
             beta[:n] = message @ model.moves.T
-            gamma[here] = alpha[here] * beta
-        start += gamma[: begin[1]].sum(0)
+            alpha[here] *= beta  # from here on the probabilities of the states, given the text
+        start += alpha[: begin[1]].sum(0)
         for state in range(k):
-            emits[:, state] += np.bincount(flat, gamma[:, state], symbols)
+            emits[:, state] += np.bincount(flat, alpha[:, state], symbols)
     return start, moves * model.moves, emits.T
 
 
@@ -208,14 +215,19 @@ def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
     def run(batches):
         hmm, totals = shared(), None
         for pdf in batches:
-            for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 4000)):
-                got = expected_counts(hmm, _sequences(pdf.iloc[part]))
-                totals = got if totals is None else tuple(a + b for a, b in zip(totals, got))
+            got = expected_counts(hmm, _sequences(pdf))
+            if totals is None:
+                totals = got
+            else:
+                for total, more in zip(totals, got):
+                    total += more
         if totals is not None:
             start, moves, emits = totals
+            yield pd.DataFrame({"part": [-1, *(-2 - i for i in range(k))], "mass": [start, *moves]})
             used = np.flatnonzero(emits.sum(0))
-            rows = [(-1, start.tolist()), *((-2 - i, moves[i].tolist()) for i in range(k)), *((int(s), emits[:, s].tolist()) for s in used)]
-            yield pd.DataFrame(rows, columns=["part", "mass"])
+            for at in range(0, len(used), FLUSH // k):
+                some = used[at : at + FLUSH // k]
+                yield pd.DataFrame({"part": some.astype(np.int32), "mass": list(emits[:, some].T)})
 
     parts = coded.select("symbols").mapInPandas(run, "part int, mass array<double>")
     sums = parts.groupBy("part").agg(F.array(*[F.sum(F.get("mass", F.lit(i))) for i in range(k)]).alias("mass"))
@@ -227,6 +239,7 @@ def baum_welch_round(coded: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
             moves[-2 - row.part] = row.mass
         else:
             emits[:, row.part] = row.mass
+    shared.unpersist()
     return Hmm.of_counts(start, moves, emits, prior)
 
 
@@ -275,8 +288,11 @@ def score(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, r
     Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), log10. A text
     has its words and one end; null and empty texts are an end alone. base_score is the smoothed
     unigram model. Repeated rows each count and come back; a null doc_id is a training row. With
-    no training rows every token is unseen. Other columns are not read.
+    no training rows every token is unseen. Other columns are not read. Symbols have 16 bits, so
+    vocabulary is at most 65,535 less CLASSES.
     """
+    if vocabulary + CLASSES >= 1 << 16:
+        raise ValueError(f"a vocabulary of {vocabulary} words and {CLASSES} classes does not fit 16 bits")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (~held_out()).alias("train"), whole_text(docs).alias("text"))
     trained = texts.where("train").select("text")
     counts = written(word_counts(trained))

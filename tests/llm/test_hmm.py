@@ -81,6 +81,49 @@ def test_scores(spark):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def plain_score(text, model, frequent, counts):
+    """log10 of the forward probability of a text's symbols, times its rare words' shares of their classes."""
+    symbols, share = [], 0.0
+    for w in (text or "").encode().lower().split():
+        if w in frequent:
+            symbols.append(1 + hmm.CLASSES + frequent.index(w))
+        else:
+            own = hmm.word_class(w.decode())
+            others = [x for x in counts if x is not None and x not in frequent and hmm.word_class(x.decode()) == own]
+            share += math.log10((counts[w] + 0.5) / (sum(counts[x] for x in others) + 0.5 * (len(others) + 1)))
+            symbols.append(1 + own)
+    total, states = 0.0, range(len(model.start))
+    alpha = [model.start[k] for k in states]
+    for t, x in enumerate([*symbols, 0]):
+        if t:
+            alpha = [sum(alpha[j] * model.moves[j, k] for j in states) for k in states]
+        alpha = [a * model.emits[k, x] for k, a in enumerate(alpha)]
+        total += math.log10(sum(alpha))
+        alpha = [a / sum(alpha) for a in alpha]
+    return total + share
+
+
+@pytest.mark.parametrize("part", [500, 3])
+def test_score_is_the_forward_probability_times_class_shares(spark, monkeypatch, part):
+    rows, told = corpus(), []
+    sent = hmm.sent
+    monkeypatch.setattr(hmm, "sent", lambda spark, value: told.append(value) or sent(spark, value))
+    monkeypatch.setattr(hmm, "SLICE", part)
+    monkeypatch.setattr(hmm, "FLUSH", 10 * part)
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), states=3, vocabulary=30).collect()
+    model = told[-1][0]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, t in rows if not held(i) for w in [*(t or "").encode().lower().split(), None])
+    frequent = [w for w, _ in sorted(((w, c) for w, c in counts.items() if w is not None), key=lambda x: (-x[1], x[0]))[:30]]
+    want = sorted((str(i), round(plain_score(t, model, frequent, counts), 6)) for i, t in rows)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
+def test_vocabulary_fits_its_symbols(spark):
+    with pytest.raises(ValueError):
+        hmm.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), vocabulary=65_500)
+
+
 def test_all_texts_of_one_word_sum_to_at_most_one(spark):
     """Known one-word texts, and one stand-in for each class's unseen words, are parts of a whole."""
     rows = [(i, w) for i, w in enumerate(["a", "b", "b", "cc", "dd", "dd", "a", "b"] * 6)]
