@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams of ORDERS bytes of the lower-cased text that a document has at least
-once. Each is scaled by the log ratio of its smoothed document frequencies in toxic and other
+Features are the n-grams of ORDERS characters of the lower-cased text, with single spaces, that a
+document has at least once. Each is scaled by the log ratio of its smoothed document frequencies in toxic and other
 training documents (Wang and Manning, 2012), and a logistic regression on the scaled features is
 fitted and calibrated on held-back training rows.
 
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from calendrix.llm.common import durable, whole_text
 
 ORDERS, PER_CLASS, FEATURES, MIN_DOCS, THRESHOLD, FOLDS, HELD_OUT = (4, 5, 6), 2000, 4096, 3, 0.7, 3, 1
-#: Bytes of text looked at together.
-CHUNK = 1 << 20
+#: Characters of text looked at together.
+CHUNK = 1 << 19
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -32,32 +33,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _chunks(texts):
-    """(bytes, document of each byte) of about CHUNK bytes; texts are kept apart by zero bytes,
+    """(code points, document of each) of about CHUNK characters; texts are kept apart by zeros,
     and a long text is continued with an overlap of the longest n-gram less one."""
     parts, owners, size = [], [], 0
-    gap, overlap = bytes(max(ORDERS)), max(ORDERS) - 1
+    gap, overlap = "\0" * max(ORDERS), max(ORDERS) - 1
+
+    def made():
+        return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), np.repeat(*map(list, zip(*owners)))
+
     for i, text in enumerate(texts):
-        data = b" " + b" ".join(text.lower().encode("utf-8", "replace").replace(b"\0", b" ").split()) + b" "
+        data = f" {' '.join(text.lower().replace(chr(0), ' ').split())} "
         for at in range(0, len(data), CHUNK):
             part = data[at : at + CHUNK + overlap] + gap
             parts.append(part)
             owners.append((i, len(part)))
             size += len(part)
             if size >= CHUNK:
-                yield np.frombuffer(b"".join(parts), np.uint8), np.repeat(*map(list, zip(*owners)))
+                yield made()
                 parts, owners, size = [], [], 0
     if parts:
-        yield np.frombuffer(b"".join(parts), np.uint8), np.repeat(*map(list, zip(*owners)))
+        yield made()
 
 
 def _codes(data: np.ndarray):
-    """(n, code of the n-gram that starts at each byte) for each n of ORDERS; 0 across a gap."""
+    """(n, 64-bit hash of the n-gram that starts at each character) for each n of ORDERS."""
     wide = data.astype(np.uint64)
+    wide = (wide + np.uint64(1)) * BASE
+    wide ^= wide >> np.uint64(29)
     code = wide
     for n in range(2, max(ORDERS) + 1):
-        code = code[:-1] | wide[n - 1 :] << np.uint64(8 * (n - 1))
+        code = code[:-1] * BASE + wide[n - 1 :]
         if n in ORDERS:
-            yield n, code | np.uint64(n << 56)
+            yield n, code ^ (code >> np.uint64(31)) ^ np.uint64(n)
 
 
 def _inside(data: np.ndarray, n: int) -> np.ndarray:
@@ -103,13 +110,16 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(text, y) of the training rows: labelled 0 or 1, not held out, bounded for each class."""
+    """(text, y) of the training documents: labelled 0 or 1, not held out, at most per_class of
+    each class. Of rows that repeat a doc_id, one is taken: that with the least text hash."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id").where(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("y = 1").orderBy(*order).limit(per_class).union(known.where("y = 0").orderBy(*order).limit(per_class))
     picked = durable(picked)  # at most 2 * per_class rows
-    return docs.select("doc_id", whole_text(docs).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y")
+    text = whole_text(docs)
+    met = docs.select("doc_id", F.struct(F.xxhash64(text).alias("digest"), text.alias("text")).alias("e")).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.min("e").alias("e")).select("e.text", "y")
 
 
 def _counts(batches):
@@ -176,14 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
         for pdf in batches:
             doc, feature = model.features(pdf.text)
             cuts = np.searchsorted(doc, np.arange(1, len(pdf)))
-            yield pd.DataFrame({"y": pdf.y, "features": [x.astype(np.int32) for x in np.split(feature, cuts)]})
+            yield pdf[["y", "back", "digest"]].assign(features=[x.astype(np.int32) for x in np.split(feature, cuts)])
 
-    # At most 2 * per_class rows of at most `features` numbers.
-    found = rows.mapInPandas(listed, "y int, features array<int>").orderBy("y", F.xxhash64("features")).toPandas()
-    y = found.y.to_numpy(float)
+    # At most 2 * per_class rows of at most `features` numbers. A fifth calibrates.
+    marked = rows.select("text", "y", (F.crc32(F.col("text").cast("binary")) % 5 == 4).alias("back"), F.xxhash64("text").alias("digest"))
+    found = marked.mapInPandas(listed, "y int, back boolean, digest bigint, features array<int>").toPandas().sort_values("digest", kind="stable")
+    y, back = found.y.to_numpy(float), found.back.to_numpy(bool)
     lists = [np.asarray(x, np.int64) for x in found.features]
     doc, feature = np.repeat(np.arange(len(y)), [len(x) for x in lists]), np.concatenate(lists)
-    back = np.arange(len(y)) % 5 == 4
     if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
         back = np.zeros(len(y), bool)
     fit = ~back[doc]

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -39,6 +41,69 @@ def test_held_out_documents_are_told_apart(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def plain_scores(rows, labels, n_features):
+    """Scores by a dense naive-Bayes-scaled logistic regression, solved by Newton's method."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    text, y = dict(rows), {i: t for i, t in labels if not held(i)}
+    grams = lambda t: {s[i : i + n] for s in [f" {' '.join(t.lower().split())} "] for n in (4, 5, 6) for i in range(len(s) - n + 1)}
+    own = {i: grams(t) for i, t in rows}
+    pos, neg = (Counter(g for i in y if y[i] == c for g in own[i]) for c in (1, 0))
+    n1, n0 = sum(y.values()), len(y) - sum(y.values())
+    ratio = {g: math.log((pos[g] + 1) / (n1 + 2)) - math.log((neg[g] + 1) / (n0 + 2)) for g in pos | neg if pos[g] + neg[g] >= 3}
+    gain = {g: abs(pos[g] / n1 - neg[g] / n0) * abs(r) for g, r in ratio.items()}
+    best = sorted(gain, key=lambda g: -gain[g])
+    assert gain[best[n_features - 1]] > gain[best[n_features]]  # no tie at the edge
+    best = best[:n_features]
+    x = lambda ids: np.array([[ratio[g] * (g in own[i]) for g in best] + [1.0] for i in ids])
+    back = [i for i in y if zlib.crc32(text[i].encode()) % 5 == 4]
+    fit = [i for i in y if i not in set(back)]
+    target, design, w = np.array([y[i] for i in fit]), x(fit), np.zeros(n_features + 1)
+    ridge = np.diag([0.05] * n_features + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ w))
+        w -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), design.T @ (p - target) + ridge @ w)
+    slope, shift = toxicity._platt(x(back) @ w, np.array([y[i] for i in back]))
+    return dict(zip(own, 1 / (1 + np.exp(-(slope * (x(own) @ w) + shift)))))
+
+
+def noisy_corpus():
+    """Toxic words in a few other documents and missing from a few toxic ones, so that no weight runs away."""
+    rng = random.Random(11)
+    rows, labels = corpus(600)
+    rows = [(i, t + (f" {rng.choice(BAD)}" if rng.random() < 0.15 else "")) for i, t in rows]
+    return rows, [(i, 1 - y if rng.random() < 0.08 else y) for i, y in labels]
+
+
+def test_scores_match_a_plain_regression(spark):
+    rows, labels = noisy_corpus()
+    want = next(w for n in range(25, 60) if (w := _untied(rows, labels, n)))
+    n_features, scores = want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), features=n_features)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert max(abs(got[i] - scores[i]) for i in got) < 0.03
+    assert len({round(x, 2) for x in got.values()}) > 5
+
+
+def _untied(rows, labels, n):
+    try:
+        return n, plain_scores(rows, labels, n)
+    except AssertionError:
+        return None
+
+
+def test_sample_keeps_its_bound_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs, labels, 2).collect()
+    assert len(rows) == 4 and sorted(r.y for r in rows) == [0, 0, 1, 1]
+
+
+def test_features_are_of_characters_not_bytes():
+    found = {n: len(codes[toxicity._inside(data, n)]) for data, _ in toxicity._chunks(["ÉÀü🙂漢字"]) for n, codes in toxicity._codes(data)}
+    assert found == {4: 5, 5: 4, 6: 3}  # of 8 characters with the spaces beside the text
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows, labels = corpus(150)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
