@@ -6,18 +6,23 @@ that an equality join finds every pair within the band, and the exact test follo
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calendrix.functions.semantics import hours_between, or_else
+from calendrix.functions.semantics import hours_between, midnight, or_else
 from calendrix.functions.text import normal_title, normal_venue, venue_fingerprints, venues_overlap
 from calendrix.functions.urls import event_id_key, event_url_key
 from calendrix.operators.selection import first_of, top_of_each
 
 
+#: Shortest venue fingerprint, and the length of the pieces by which venues meet.
+GRAM = 6
+
+
 def dedupe_first(events: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in arrival order; rows without a key all stay."""
     return first_of(events, [key], [order]).unionByName(events.where(F.col(key).isNull()))
@@ -34,8 +39,8 @@ def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
     arrival too. Two keyed joins, not one join on either.
     """
     key = event_id_key(F.col("source"), F.col("source_event_id"))
-    by_url = first_of(existing.select(event_url_key(F.col("url")).alias("_url"), F.col("id").alias("_by_url"), "arrival"), ["_url"], ["arrival"])
-    by_id = first_of(existing.select(key.alias("_key"), F.col("id").alias("_by_id"), "arrival"), ["_key"], [F.desc("arrival")])
+    by_url = first_of(existing.select(event_url_key(F.col("url")).alias("_url"), F.col("id").alias("_by_url"), "arrival"), ["_url"], ["arrival", "_by_url"])
+    by_id = first_of(existing.select(key.alias("_key"), F.col("id").alias("_by_id"), "arrival"), ["_key"], [F.desc("arrival"), F.desc("_by_id")])
     keyed = new.withColumns({"_url": event_url_key(F.col("url")), "_key": key})
     met = keyed.join(by_url.drop("arrival"), "_url", "left").join(by_id.drop("arrival"), "_key", "left")
     signal = (
@@ -48,51 +53,97 @@ def match_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 def exact_title_pairs(a: DataFrame, b: DataFrame, hours: int = 12) -> DataFrame:
     """Pairs (a_id, b_id) of equal, non-empty normalised titles whose starts are close."""
-    left = prefixed(a.select("id", normal_title(F.col("title")).alias("t"), "start"), "a_").where("a_t <> ''")
-    right = prefixed(b.select("id", normal_title(F.col("title")).alias("t"), "start"), "b_")
-    return left.join(right, F.col("a_t") == F.col("b_t")).where(hours_between(F.col("a_start"), F.col("b_start")) <= hours)
+    part = lambda df: df.select("id", normal_title(F.col("title")).alias("t"), "start", *arrival_of(df)).where("t <> ''")
+    return band_pairs(part(a), part(b), hours, keys=["t"])
 
 
 def title_venue_pairs(a: DataFrame, b: DataFrame, hours: int = 48) -> DataFrame:
     """As exact_title_pairs, with equal venues too and a wider band."""
-    part = lambda df: df.select("id", normal_title(F.col("title")).alias("t"), normal_venue(F.col("venue")).alias("v"), "start")
-    left, right = prefixed(part(a), "a_").where("a_t <> '' AND a_v <> ''"), prefixed(part(b), "b_")
-    met = left.join(right, (F.col("a_t") == F.col("b_t")) & (F.col("a_v") == F.col("b_v")))
-    return met.where(hours_between(F.col("a_start"), F.col("b_start")) <= hours)
+    part = lambda df: df.select("id", normal_title(F.col("title")).alias("t"), normal_venue(F.col("venue")).alias("v"), "start", *arrival_of(df)).where("t <> '' AND v <> ''")
+    return band_pairs(part(a), part(b), hours, keys=["t", "v"])
+
+
+def arrival_of(df: DataFrame) -> list[Column]:
+    """The column by which the earlier of two rows is told: arrival, else the id."""
+    return [F.col("arrival" if "arrival" in df.columns else "id").alias("arrival")]
 
 
-def band_pairs(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column] | None = None) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, own: str, other: str, keys) -> DataFrame:
+    return left.join(right, [F.col(own) == F.col(other), *[F.col("a_" + k) == F.col("b_" + k) for k in keys]]).drop(own, other)
+
+
+def band_pairs(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column] | None = None, keys=()) -> DataFrame:
     """Pairs of a and b (id, start, ...), columns prefixed a_ and b_, at most `hours` whole hours
-    apart. Buckets are as wide as the band, hours + 1: a pair is in equal or neighbouring ones."""
+    apart and equal in all keys. Buckets are as wide as the band, hours + 1: a pair is in equal or
+    neighbouring ones, and meets by the bucket and the keys at once."""
     width = (hours + 1) * 3600
     left = prefixed(a, "a_").where("a_start IS NOT NULL").withColumn("_bucket", F.floor(F.unix_seconds("a_start") / width))
     right = prefixed(b, "b_").where("b_start IS NOT NULL").withColumn("_own", F.floor(F.unix_seconds("b_start") / width))
-    right = right.withColumn("_bucket", F.explode(F.array(*[F.col("_own") + k for k in (-1, 0, 1)]))).drop("_own")
-    met = left.join(right, "_bucket").drop("_bucket").where(hours_between(F.col("a_start"), F.col("b_start")) <= hours)
+    right = right.withColumn("_other", F.explode(F.array(*[F.col("_own") + k for k in (-1, 0, 1)]))).drop("_own")
+    met = _met(left, right, "_bucket", "_other", keys).where(hours_between(F.col("a_start"), F.col("b_start")) <= hours)
     return met.where(on()) if on else met
 
 
+def near_pairs(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column] | None = None, keys=()) -> DataFrame:
+    """band_pairs(), but a start of exactly midnight UTC is a day without a time: such rows meet
+    those of their UTC day, and no others."""
+    timed, dated = ~midnight(F.col("start")), midnight(F.col("start"))
+    found = band_pairs(a.where(timed), b.where(timed), hours, on, keys)
+    for left, right in ((a.where(dated), b), (a.where(timed), b.where(dated))):
+        left = prefixed(left, "a_").withColumn("_day", F.to_date("a_start"))
+        right = prefixed(right, "b_").withColumn("_their_day", F.to_date("b_start"))
+        met = _met(left, right, "_day", "_their_day", keys)
+        found = found.unionByName(met.where(on()) if on else met)
+    return found
+
+
 def same_source_day(a: DataFrame, b: DataFrame, most: int = 3) -> DataFrame:
-    """Candidates of one source and UTC day, the first `most` of each a by b's id."""
-    day = lambda df: df.select("id", "source", F.to_date("start").alias("day"))
+    """Candidates of one source and UTC day, the first `most` of each a by b's arrival."""
+    day = lambda df: df.select("id", "source", F.to_date("start").alias("day"), *arrival_of(df))
     left, right = prefixed(day(a), "a_"), prefixed(day(b), "b_")
     met = left.join(right, (F.col("a_source") == F.col("b_source")) & (F.col("a_day") == F.col("b_day")) & (F.col("a_id") != F.col("b_id")))
-    return top_of_each(met.select("a_id", "b_id"), ["a_id"], ["b_id"], most)
+    return _first_arrivals(met, most)
+
+
+def _first_arrivals(met: DataFrame, most: int) -> DataFrame:
+    return top_of_each(met.select("a_id", "b_id", "b_arrival"), ["a_id"], ["b_arrival", "b_id"], most).drop("b_arrival")
+
+
+def overlapping_venues(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column], near=near_pairs) -> DataFrame:
+    """Distinct near pairs (a_id, b_id, b_arrival) of a and b (id, start, prints, ...) of which a
+    fingerprint of one contains one of the other.
+
+    Fingerprints have GRAM characters at least, so that the one that is contained begins with a
+    piece of that length that the other has somewhere: the pairs meet on it, and are tested then.
+    """
+    pieces = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (GRAM - 1)), lambda i: F.substring(p, i, F.lit(GRAM)))
+    every = lambda df: df.withColumn("g", F.explode(F.array_distinct(F.flatten(F.transform("prints", pieces)))))
+    first = lambda df: df.withColumn("g", F.explode(F.array_distinct(F.transform("prints", lambda p: F.substring(p, F.lit(1), F.lit(GRAM))))))
+    test = lambda: on() & venues_overlap(F.col("a_prints"), F.col("b_prints"))
+    found = near(every(a), first(b), hours, test, ["g"]).unionByName(near(first(a), every(b), hours, test, ["g"]))
+    return found.select("a_id", "b_id", "b_arrival", "a_start", "b_start").distinct()
+
+
+def _with_prints(df: DataFrame) -> DataFrame:
+    prints = venue_fingerprints(F.col("venue"), F.col("address"), GRAM)
+    bare = or_else(F.col("venue"), F.col("address")).isNull()
+    return df.select("id", "source", "start", prints.alias("prints"), bare.alias("bare"), *arrival_of(df))
 
 
 def cross_source(a: DataFrame, b: DataFrame, hours: int = 3, most: int = 3) -> DataFrame:
-    """Candidates of other sources within the hours whose venues overlap; (id, source, start, venue, address)."""
-    part = lambda df: df.select("id", "source", "start", venue_fingerprints(F.col("venue"), F.col("address")).alias("prints"))
-    on = lambda: (F.col("a_source") != F.col("b_source")) & venues_overlap(F.col("a_prints"), F.col("b_prints"))
-    return top_of_each(band_pairs(part(a), part(b), hours, on).select("a_id", "b_id"), ["a_id"], ["b_id"], most)
+    """Candidates of other sources within the hours (or on the day, for dates without a time) whose
+    venues overlap, the first `most` by arrival; (id, source, start, venue, address)."""
+    on = lambda: ~F.col("a_source").eqNullSafe(F.col("b_source"))
+    known = lambda df: _with_prints(df.where("source <> ''") if df is a else df)
+    return _first_arrivals(overlapping_venues(known(a), known(b), hours, on), most)
 
 
 def cross_source_fallback(a: DataFrame, b: DataFrame, found: DataFrame, hours: int = 1, most: int = 3) -> DataFrame:
     """For those without cross_source candidates: an hour apart, where a side has no venue."""
-    part = lambda df: df.select("id", "source", "start", (F.coalesce("venue", F.lit("")) == "").alias("bare"))
-    open_ = a.join(found.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
-    on = lambda: (F.col("a_source") != F.col("b_source")) & (F.col("a_bare") | F.col("b_bare"))
-    return top_of_each(band_pairs(part(open_), part(b), hours, on).select("a_id", "b_id"), ["a_id"], ["b_id"], most)
+    open_ = a.where("source <> ''").join(found.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+    close = lambda: hours_between(F.col("a_start"), F.col("b_start")) <= hours
+    on = lambda: ~F.col("a_source").eqNullSafe(F.col("b_source")) & (F.col("a_bare") | F.col("b_bare")) & close()
+    return _first_arrivals(near_pairs(_with_prints(open_), _with_prints(b), hours, on), most)
 
 
 def title_distance(a: Column, b: Column) -> Column:
@@ -101,41 +152,72 @@ def title_distance(a: Column, b: Column) -> Column:
 
 
 def fuzzy_pairs(a: DataFrame, b: DataFrame, hours: int = 24, threshold: float = 0.4, most: int | None = None, score=title_distance) -> DataFrame:
-    """Pairs with close titles within the hours: (a_id, b_id, score), at most `most` for each a.
+    """Pairs with close titles within the hours: (a_id, b_id, score); with `most`, the closest ones of
+    each a, the earlier arrival first, and their rank.
 
-    score stands in for a fuzzy-search library; lengths further apart than the threshold allows
-    are passed over before it is computed.
+    score stands in for a fuzzy-search library. It is taken once for each pair of different titles
+    that come near each other in time, and lengths further apart than the threshold allows are
+    passed over before; rows then meet by their titles.
     """
-    part = lambda df: df.select("id", "start", F.lower("title").alias("title"))
+    width = (hours + 1) * 3600
+    part = lambda df: df.select("id", "start", F.lower("title").alias("title"), *arrival_of(df))
+    own, other = part(a), part(b)
+    bucket = F.floor(F.unix_seconds("start") / width)
+    left = own.where("start IS NOT NULL").select(F.col("title").alias("a_title"), bucket.alias("_bucket")).distinct()
+    right = other.where("start IS NOT NULL").select(F.col("title").alias("b_title"), F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("_bucket")).distinct()
     size = lambda c: F.length(c)
-    near = lambda: F.abs(size("a_title") - size("b_title")) <= F.greatest(size("a_title"), size("b_title")) * threshold
-    met = band_pairs(part(a), part(b), hours, near).where("a_id <> b_id").withColumn("score", score(F.col("a_title"), F.col("b_title")))
-    met = met.where(F.col("score") <= threshold).select("a_id", "b_id", "score")
-    return top_of_each(met, ["a_id"], ["score", "b_id"], most).drop("rank") if most else met
+    near = F.abs(size("a_title") - size("b_title")) <= F.greatest(size("a_title"), size("b_title")) * threshold
+    titles = left.join(right, "_bucket").where(near).select("a_title", "b_title").distinct()
+    titles = titles.withColumn("score", score(F.col("a_title"), F.col("b_title"))).where(F.col("score") <= threshold)
+    # The wanted titles of each a stand in for its own, so that the band join has a key beside time.
+    asked = own.join(titles, F.col("title") == F.col("a_title")).select("id", "start", F.col("b_title").alias("title"), "score")
+    met = band_pairs(asked, other, hours, keys=["title"]).where("a_id <> b_id")
+    met = met.select("a_id", "b_id", F.col("a_score").alias("score"), "b_arrival")
+    if most:
+        return top_of_each(met, ["a_id"], ["score", "b_arrival", "b_id"], most).select("a_id", "b_id", "score", "rank")
+    return met.select("a_id", "b_id", "score")
+
+
+def reconciler_edges(events: DataFrame, threshold: float = 0.45, title_hours: int = 48, venue_hours: int = 3, bare_hours: int = 1) -> DataFrame:
+    """Pairs (a_id, b_id), both ways, that the reconciler groups: close titles within two days,
+    overlapping venues within three hours, or within one where neither side has a venue."""
+    part = _with_prints(events)
+    titles = fuzzy_pairs(events, events, title_hours, threshold).select("a_id", "b_id")
+    apart = lambda: F.col("a_id") < F.col("b_id")
+    venues = overlapping_venues(part, part, venue_hours, apart, band_pairs).select("a_id", "b_id")
+    bare = part.where("bare")
+    bare = band_pairs(bare, bare, bare_hours, apart).select("a_id", "b_id")
+    once = venues.union(bare)
+    return titles.union(once).union(once.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).distinct()
 
 
 def cascade(new: DataFrame, existing: DataFrame, verdicts: DataFrame, confidence: float = 0.7) -> DataFrame:
     """The best match of each new event among existing ones, and a trace of its candidates.
 
-    Layers in order: 1 title within 12 h, 1 title and venue within 48 h (whichever existing row
-    comes first), 2 one source and day, 3 other source and venue (else the fallback), 4 fuzzy title.
-    Layers 2 to 4 count if verdicts(left_id, right_id, ok, confidence) agree. Both sides: id, title,
-    start, source, venue, address. Returns id, match_id, layer, candidates (layer, match_id).
+    Layers in order: 0 URL or source's id, 1 title within 12 h or title and venue within 48 h
+    (whichever existing row arrived first), 2 one source and day, 3 other source and venue (else the
+    fallback), 4 fuzzy title. Layers 2 to 4 count if verdicts(left_id, right_id, ok, confidence)
+    agree. Both sides: id, title, start, source, venue, address, url, source_event_id; existing has
+    arrival. What layer 0 settles goes no further. Returns id, match_id, layer, candidates (layer,
+    place, match_id). Events are held against existing ones, not against each other.
     """
-    pairs = lambda df, layer, sure: df.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), F.lit(layer).alias("layer"), F.lit(sure).alias("sure"))
-    venue = cross_source(new, existing)
+    keyed = match_existing(new.select("id", "url", "source", "source_event_id"), existing).where("existing_id IS NOT NULL")
+    settled = keyed.select("id", F.col("existing_id").alias("match_id"), F.lit(0).alias("layer"), F.lit(0.0).alias("place"), F.lit(True).alias("sure"))
+    open_ = new.join(settled.select("id"), "id", "left_anti")
+    pairs = lambda df, layer, place, sure: df.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), F.lit(layer).alias("layer"), F.col(place).cast("double").alias("place"), F.lit(sure).alias("sure"))
+    venue = cross_source(open_, existing)
     found = (
-        pairs(exact_title_pairs(new, existing), 1, True)
-        .union(pairs(title_venue_pairs(new, existing), 1, True))
-        .union(pairs(same_source_day(new, existing), 2, False))
-        .union(pairs(venue, 3, False))
-        .union(pairs(cross_source_fallback(new, existing, venue), 3, False))
-        .union(pairs(fuzzy_pairs(new, existing, most=3), 4, False))
+        settled.union(pairs(exact_title_pairs(open_, existing), 1, "b_arrival", True))
+        .union(pairs(title_venue_pairs(open_, existing), 1, "b_arrival", True))
+        .union(pairs(same_source_day(open_, existing), 2, "rank", False))
+        .union(pairs(venue, 3, "rank", False))
+        .union(pairs(cross_source_fallback(open_, existing, venue), 3, "rank", False))
+        .union(pairs(fuzzy_pairs(open_, existing, most=3), 4, "rank", False))
     )
     said = verdicts.where(F.col("ok") & (F.col("confidence") > confidence)).select(F.col("left_id").alias("id"), F.col("right_id").alias("match_id"), F.lit(True).alias("agreed"))
     judged = found.join(said.distinct(), ["id", "match_id"], "left")
     taken = F.col("sure") | F.coalesce("agreed", F.lit(False))
-    entry = F.struct("layer", "match_id")
+    entry = F.struct("layer", "place", "match_id")
     best = judged.groupBy("id").agg(F.min(F.when(taken, entry)).alias("best"), F.sort_array(F.collect_set(entry)).alias("candidates"))
     return new.select("id").join(best, "id", "left").select("id", "best.match_id", "best.layer", "candidates")
 
@@ -188,12 +270,21 @@ def _settled(events: DataFrame, links: DataFrame) -> DataFrame:
     return members.union(members.select("head", "head").distinct())
 
 
+def checkpointed(spark: SparkSession) -> None:
+    """Sets the checkpoint folder to the one spark.checkpoint.dir names; a temporary one serves a
+    local session only, as the machines of a cluster would not share it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="calendrix-"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) by rounds of least neighbours, each with its lineage cut by a checkpoint."""
-    if not edges.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        edges.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="calendrix-"))
+    checkpointed(edges.sparkSession)
     both = edges.select(F.col("a_id").alias("id"), F.col("b_id").alias("near")).distinct().checkpoint()
     labels = both.groupBy("id").agg(F.least("id", F.min("near")).alias("component")).checkpoint()
     while True:
@@ -234,7 +325,29 @@ def merged(events: DataFrame, losers: DataFrame, fields: list[str], as_of: Colum
     return out.withColumns(filled).select(*events.columns)
 
 
-def earlier_matches(events: DataFrame, order: str) -> DataFrame:
-    """Each event with the number of earlier rows of its normalised title."""
-    rank = Window.partitionBy(normal_title(F.col("title"))).orderBy(order)
-    return events.withColumn("earlier", F.row_number().over(rank) - 1)
+def merge_targets(events: DataFrame) -> DataFrame:
+    """(id, target): where each merged row ended up, along merged_into_id to the last one.
+
+    Every round doubles the steps taken, each with its lineage cut by a checkpoint. A pointer to a
+    row that is not there ends a chain; rows of a ring keep what they reach and stop the rounds.
+    """
+    checkpointed(events.sparkSession)
+    now = events.where("merged_into_id IS NOT NULL").select("id", F.col("merged_into_id").alias("target")).checkpoint()
+    while True:
+        on = now.select(F.col("id").alias("target"), F.col("target").alias("further"))
+        met = now.join(on, "target", "left").where("further IS NULL OR further <> id")
+        new = met.select("id", F.coalesce("further", "target").alias("target")).checkpoint()
+        moved = new.join(now.withColumnRenamed("target", "was"), "id").where("target <> was")
+        if moved.isEmpty():
+            return new
+        now = new
+
+
+def reconciler_report(groups: DataFrame, proposals: DataFrame, dry_run: bool = True) -> DataFrame:
+    """One row: groups(head), proposals(action) by merge_gate(), merges carried out and calls made."""
+    gate = proposals.agg(
+        F.count(F.lit(1)).alias("api_calls"), F.count_if(F.col("action") == "merge").alias("proposals"), F.count_if(F.col("action") != "merge").alias("skipped")
+    )
+    counted = groups.agg(F.count_distinct("head").alias("groups"))
+    executed = F.lit(0).cast("bigint") if dry_run else F.col("proposals")
+    return counted.crossJoin(gate).select("groups", "proposals", executed.alias("executed"), "skipped", "api_calls")

@@ -36,9 +36,11 @@ def new_urls(results: DataFrame, known: DataFrame, order: str) -> DataFrame:
 
 
 def siblings(triggers: DataFrame, sources: DataFrame, planned: DataFrame, each: int = 5, most: int = 5) -> DataFrame:
-    """Other sources of a trigger's host that are neither planned nor demoted, at most `each` by trigger."""
+    """Other sources of a trigger's host that are neither planned nor demoted, at most `each` by
+    trigger. A host offers its first each + 1 sources only (one may be the trigger itself)."""
     left = triggers.select(F.col("url").alias("trigger_url"), host(F.col("url")).alias("host"))
     right = sources.where("tier <> 'demoted'").join(planned.select("url"), "url", "left_anti").select("url", host(F.col("url")).alias("host"))
+    right = top_of_each(right, ["host"], ["url"], each + 1).drop("rank")
     met = left.join(right, "host").where("url <> trigger_url")
     return top_of_each(met, ["trigger_url"], ["url"], each).orderBy("rank", "trigger_url").limit(most)
 

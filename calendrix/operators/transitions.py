@@ -125,7 +125,8 @@ def rate_limited(requests: DataFrame, key: str, most: int = 3, hours: int = 24)
     the hours. Refused ones use no quota, so that decisions follow one another.
 
     Requests of a key are read in order from sorted partitions; the state is the last accepted
-    times, whatever the number of requests.
+    times, whatever the number of requests. As each decision rests on those before it, a key's
+    requests go through one task: a hot key is read in a stream, but by one core.
     """
     width = hours * 3600 * 1_000_000
 

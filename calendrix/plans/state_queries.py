@@ -26,16 +26,23 @@ def query(sql: str | None = None):
 
 
 def happenings(spark, sf_dir):
-    """events as calendar entries: type as title, user as source, a venue of every third."""
-    venue = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Venue Hall "), (F.col("user_id") % 5).cast("string")))
+    """events as calendar entries: type as title, user as source, a venue of every third (a part of
+    another's name for some), a date without a time for every fiftieth, and arrival in mixed order."""
+    hall = (F.col("user_id") % 5).cast("string")
+    venue = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("The Venue Hall "), hall, F.lit(", East"))).when(F.col("event_id") % 3 == 0, F.concat(F.lit("Venue Hall "), hall))
+    start = F.when(F.col("event_id") % 50 < 2, F.date_trunc("day", "ts")).otherwise(F.col("ts"))
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", (F.col("user_id") % 20).cast("string")).alias("title"), F.col("ts").alias("start"),
-        (F.col("user_id") % 7).alias("source"), venue.alias("venue"), F.lit(None).cast("string").alias("address"),
+        F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", (F.col("user_id") % 20).cast("string")).alias("title"), start.alias("start"),
+        (F.col("user_id") % 7).cast("string").alias("source"), venue.alias("venue"), F.lit(None).cast("string").alias("address"), (F.col("event_id") * 7919 % 10007).alias("arrival"),
+        F.when(F.col("event_id") % 8 < 2, F.concat(F.lit("https://a.example/e/"), F.floor(F.col("event_id") / 8).cast("string"))).otherwise(F.concat(F.lit("https://a.example/own/"), F.col("event_id").cast("string"))).alias("url"),
+        F.when(F.col("event_id") % 25 == 3, F.floor(F.col("event_id") / 50).cast("string")).alias("source_event_id"),
     )
 
 
-HAPPENINGS = """WITH h AS (SELECT event_id AS id, event_type || ' ' || (user_id % 20) AS title, ts AS start, user_id % 7 AS source,
-  CASE WHEN event_id % 3 = 0 THEN 'Venue Hall ' || (user_id % 5) END AS venue FROM events), a AS (SELECT * FROM h WHERE id % 2 = 0), b AS (SELECT * FROM h WHERE id % 2 = 1) """
+HAPPENINGS = """WITH h AS (SELECT event_id AS id, event_type || ' ' || (user_id % 20) AS title, CASE WHEN event_id % 50 < 2 THEN date_trunc('day', ts) ELSE ts END AS start, CAST(user_id % 7 AS VARCHAR) AS source,
+  CASE WHEN event_id % 9 = 0 THEN 'The Venue Hall ' || (user_id % 5) || ', East' WHEN event_id % 3 = 0 THEN 'Venue Hall ' || (user_id % 5) END AS venue, event_id * 7919 % 10007 AS arrival,
+  CASE WHEN event_id % 8 < 2 THEN 'https://a.example/e/' || (event_id // 8) ELSE 'https://a.example/own/' || event_id END AS url, CASE WHEN event_id % 25 = 3 THEN CAST(event_id // 50 AS VARCHAR) END AS source_event_id, strftime(start, '%H:%M:%S') = '00:00:00' AS dated, CAST(start AS DATE) AS day,
+  regexp_replace(lower(coalesce(venue, '')), '[^a-z0-9]', '', 'g') AS print FROM events), a AS (SELECT * FROM h WHERE id % 2 = 0), b AS (SELECT * FROM h WHERE id % 2 = 1) """
 
 
 def halves(spark, sf_dir):
@@ -54,24 +61,29 @@ def title_venue_48h(spark, sf_dir):
     return d.title_venue_pairs(*halves(spark, sf_dir)).select("a_id", "b_id")
 
 
-@query(HAPPENINGS + """SELECT a_id, b_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS rank
-FROM a JOIN b ON a.source = b.source AND CAST(a.start AS DATE) = CAST(b.start AS DATE)) WHERE rank <= 3""")
-def same_source_day_top3(spark, sf_dir):
-    return d.same_source_day(*halves(spark, sf_dir))
+def _first3(what: str) -> str:
+    """The first three of each a by arrival, of the pairs that `what` makes."""
+    return f"SELECT a_id, b_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY b.arrival, b.id) AS rank {what}) WHERE rank <= 3"
+
+
+NEAR = "CASE WHEN a.dated OR b.dated THEN a.day = b.day ELSE abs(date_sub('hour', a.start, b.start)) <= {} END"
+OVERLAP = "a.print <> '' AND b.print <> '' AND (contains(a.print, b.print) OR contains(b.print, a.print))"
+SAME_DAY = "FROM a JOIN b ON a.source = b.source AND a.day = b.day"
+CROSS = f"FROM a JOIN b ON a.source <> b.source AND {OVERLAP} AND {NEAR.format(3)}"
+FALLBACK = f"""FROM a JOIN b ON a.source <> b.source AND (a.venue IS NULL OR b.venue IS NULL) AND {NEAR.format(1)} AND abs(date_sub('hour', a.start, b.start)) <= 1 WHERE a.id NOT IN (SELECT a.id {CROSS})"""
 
 
-OVERLAP = f"{NORM.format('a.venue')} = {NORM.format('b.venue')}"
+@query(HAPPENINGS + _first3(SAME_DAY))
+def same_source_day_top3(spark, sf_dir):
+    return d.same_source_day(*halves(spark, sf_dir))
 
 
-@query(HAPPENINGS + f"""SELECT a_id, b_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS rank
-FROM a JOIN b ON a.source <> b.source AND {OVERLAP} AND abs(date_sub('hour', a.start, b.start)) <= 3) WHERE rank <= 3""")
+@query(HAPPENINGS + _first3(CROSS))
 def cross_source_band(spark, sf_dir):
     return d.cross_source(*halves(spark, sf_dir))
 
 
-@query(HAPPENINGS + f"""SELECT a_id, b_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS rank
-FROM a JOIN b ON a.source <> b.source AND (a.venue IS NULL OR b.venue IS NULL) AND abs(date_sub('hour', a.start, b.start)) <= 1
-WHERE a.id NOT IN (SELECT a.id FROM a JOIN b ON a.source <> b.source AND {OVERLAP} AND abs(date_sub('hour', a.start, b.start)) <= 3)) WHERE rank <= 3""")
+@query(HAPPENINGS + _first3(FALLBACK))
 def cross_source_fallback(spark, sf_dir):
     a, b = halves(spark, sf_dir)
     return d.cross_source_fallback(a, b, d.cross_source(a, b))
@@ -86,18 +98,47 @@ def fuzzy_title_pairs(spark, sf_dir):
     return d.fuzzy_pairs(h, h, hours=2).select("a_id", "b_id", F.round("score", 4).alias("score"))
 
 
-@query()
+def _verdicts(a, b):
+    """Two in three candidates of layers 2 to 4 are no duplicates."""
+    venue = d.cross_source(a, b)
+    fuzzy = d.fuzzy_pairs(a, b, most=3)
+    pairs = d.same_source_day(a, b).unionByName(venue).unionByName(d.cross_source_fallback(a, b, venue)).unionByName(fuzzy.drop("score"))
+    ids = pairs.select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
+    return ids.withColumns({"ok": (F.col("left_id") + F.col("right_id")) % 9 == 0, "confidence": F.when(F.col("left_id") % 4 == 0, 0.6).otherwise(0.9)})
+
+
+DISTANCE = "levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title), 1)::DOUBLE"
+
+
+CASCADE = HAPPENINGS.replace("a AS (SELECT * FROM h WHERE id % 2 = 0)", "n AS (SELECT * FROM h WHERE id % 2 = 0)") + f""",
+u AS (SELECT url, first(id ORDER BY arrival, id) AS m FROM b GROUP BY 1), k AS (SELECT source, source_event_id, last(id ORDER BY arrival, id) AS m FROM b WHERE source_event_id IS NOT NULL GROUP BY 1, 2),
+zero AS (SELECT n.id, coalesce(u.m, k.m) AS match_id FROM n LEFT JOIN u ON u.url = n.url LEFT JOIN k ON k.source = n.source AND k.source_event_id = n.source_event_id WHERE coalesce(u.m, k.m) IS NOT NULL),
+a AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM zero)),
+c AS (SELECT id, match_id, 0 AS layer, 0::DOUBLE AS place, true AS sure FROM zero
+ UNION ALL SELECT a.id, b.id, 1, b.arrival, true FROM a JOIN b ON a.title = b.title AND abs(date_sub('hour', a.start, b.start)) <= 12
+ UNION ALL SELECT a.id, b.id, 1, b.arrival, true FROM a JOIN b ON a.title = b.title AND a.venue = b.venue AND abs(date_sub('hour', a.start, b.start)) <= 48
+ UNION ALL SELECT a_id, b_id, 2, rank, false FROM ({_first3(SAME_DAY)})
+ UNION ALL SELECT a_id, b_id, 3, rank, false FROM ({_first3(CROSS)})
+ UNION ALL SELECT a_id, b_id, 3, rank, false FROM ({_first3(FALLBACK)})
+ UNION ALL SELECT a_id, b_id, 4, rank, false FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY {DISTANCE}, b.arrival, b.id) AS rank
+   FROM a JOIN b ON abs(date_sub('hour', a.start, b.start)) <= 24 AND {DISTANCE} <= 0.4) WHERE rank <= 3),
+j AS (SELECT *, sure OR ((id + match_id) % 9 = 0 AND id % 4 <> 0) AS taken FROM c)
+SELECT n.id, match_id, CAST(layer AS INTEGER) AS layer, CAST(n_candidates AS INTEGER) AS n_candidates FROM n LEFT JOIN (
+ SELECT id, first(match_id ORDER BY layer, place, match_id) FILTER (WHERE taken) AS match_id, first(layer ORDER BY layer, place, match_id) FILTER (WHERE taken) AS layer,
+  count(DISTINCT layer || ':' || place || ':' || match_id) AS n_candidates FROM j GROUP BY 1) USING (id)"""
+
+
+@query(CASCADE)
 def dedup_cascade(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    pairs = d.same_source_day(a, b).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"))
-    verdicts = pairs.withColumns({"ok": (F.col("left_id") + F.col("right_id")) % 3 == 0, "confidence": F.lit(0.9)})
-    return d.cascade(a, b, verdicts).select("id", "match_id", "layer", F.size("candidates").alias("n_candidates"))
+    return d.cascade(a, b, _verdicts(a, b)).select("id", "match_id", "layer", F.size("candidates").alias("n_candidates"))
 
 
 @query()
 def greedy_clusters(spark, sf_dir):
     rows = happenings(spark, sf_dir)
-    edges = d.exact_title_pairs(rows, rows, hours=2).where("a_id <> b_id").select("a_id", "b_id")
+    edges = d.exact_title_pairs(rows, rows, hours=2).where("a_id < b_id").select("a_id", "b_id")
+    edges = edges.union(edges.select("b_id", "a_id"))
     return d.clusters(rows.select("id", "start"), edges, d.components(edges))
 
 
@@ -153,14 +194,14 @@ def unknown_sources(spark, sf_dir):
     return j.unknown_organizers(pages, pages.where("page_id % 10 = 0 AND url NOT LIKE '%/en/%'")).select("page_id", "slug")
 
 
-@query(f"""WITH s AS (SELECT page_id, url, {HOST_SQL} AS host FROM pages) SELECT t.url AS trigger_url, s.url, row_number() OVER (PARTITION BY t.url ORDER BY s.url) AS rank
-FROM (SELECT * FROM s WHERE page_id % 25 = 0) t JOIN (SELECT DISTINCT url, host FROM s WHERE page_id % 2 = 1) s ON t.host = s.host AND t.url <> s.url
-WHERE s.url NOT IN (SELECT url FROM s WHERE page_id % 25 = 0) QUALIFY rank <= 5 ORDER BY rank, trigger_url LIMIT 5""".replace("row_number() OVER (PARTITION BY t.url ORDER BY s.url) AS rank", "CAST(row_number() OVER (PARTITION BY t.url ORDER BY s.url) AS INTEGER) AS rank"))
+@query(f"""WITH s AS (SELECT DISTINCT url, {HOST_SQL} AS host, contains(url, '/en/') AS planned FROM pages)
+SELECT t.url AS trigger_url, s.url, CAST(row_number() OVER (PARTITION BY t.url ORDER BY s.url) AS INTEGER) AS rank FROM s t JOIN s ON t.host = s.host AND t.url <> s.url
+WHERE t.planned AND NOT s.planned QUALIFY rank <= 5 ORDER BY rank, trigger_url LIMIT 5""")
 def sibling_sources(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    others = pages.where("page_id % 2 = 1").select("url").distinct().withColumn("tier", F.lit("probation"))
-    planned = pages.where("page_id % 25 = 0").select("url")
-    return j.siblings(planned, others, planned).select("trigger_url", "url", "rank")
+    """English pages are the planned ones, all others their possible siblings."""
+    urls = table(spark, sf_dir, "pages").select("url").distinct()
+    planned = urls.where(F.contains("url", F.lit("/en/")))
+    return j.siblings(planned, urls.withColumn("tier", F.lit("probation")), planned).select("trigger_url", "url", "rank")
 
 
 @query("""WITH up AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey + 10000000, o_totalprice FROM orders WHERE o_orderkey % 4 = 0)
@@ -234,7 +275,10 @@ def source_state_fold(spark, sf_dir):
     return tr.scrape_counters(runs, ["ts", "event_id"])
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT event_id, user_id, rn, true AS accepted, [ts] AS kept FROM o WHERE rn = 1 UNION ALL
+SELECT event_id, user_id, rn, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, ts) ELSE k END FROM (SELECT o.*, list_filter(r.kept, lambda x: x > o.ts - INTERVAL 24 HOUR) AS k FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
+SELECT event_id AS request_id, accepted FROM r""")
 def rate_limit(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("at"))
     return tr.rate_limited(requests, "user_id")

@@ -14,15 +14,18 @@ T0 = dt.datetime(2026, 1, 5)
 def entries(seed, n=60):
     rng = random.Random(seed)
     titles = ["AI Night", "AI-Night!", "Hack day", "Data talk", "データ", ""]
-    venues = ["Capital Factory", "The Grand Hall", None, ""]
+    venues = ["Capital Factory", "The Grand Hall", "Grand Hall, 2nd floor", "Grand Hall", None, ""]
     rows = []
     for i in range(n):
         start = T0 + dt.timedelta(minutes=rng.choice([0, 1, 59, 60, 61, 180, 239, 240, 779, 780, 1500, 2939, 2940]) + rng.randrange(4) * 1440)
-        rows.append((seed * 1000 + i, rng.choice(titles), None if rng.random() < 0.05 else start, rng.choice("abc"), rng.choice(venues), None))
+        if rng.random() < 0.15:
+            start = start.replace(hour=0, minute=0)
+        url, event_id = f"http://e.example/{rng.randrange(400)}", rng.choice([None, "", str(rng.randrange(90))])
+        rows.append((seed * 1000 + i, rng.choice(titles), None if rng.random() < 0.05 else start, rng.choice("abc"), rng.choice(venues), None, url, event_id, rng.randrange(10**6)))
     return rows
 
 
-SCHEMA = "id long, title string, start timestamp, source string, venue string, address string"
+SCHEMA = "id long, title string, start timestamp, source string, venue string, address string, url string, source_event_id string, arrival long"
 
 
 def norm(s):
@@ -42,19 +45,29 @@ def overlap(a, b):
     return any(x in y or y in x for x in prints(a) for y in prints(b))
 
 
+def near(a, b, most):
+    if not a or not b:
+        return False
+    if dt.time() in (a.time(), b.time()):
+        return a.date() == b.date()
+    return hours(a, b) <= most
+
+
 def plain_cascade(new, old, agreed):
-    out = {}
+    out, old = {}, sorted(old, key=lambda r: r[8])
     for a in new:
-        layers = {1: [], 2: [], 3: [], 4: []}
-        layers[1] = [b[0] for b in old if norm(a[1]) and norm(a[1]) == norm(b[1]) and (hours(a[2], b[2]) <= 12 or (norm(a[4]) and norm(a[4]) == norm(b[4]) and hours(a[2], b[2]) <= 48))]
-        layers[2] = sorted(b[0] for b in old if a[3] == b[3] and a[2] and b[2] and a[2].date() == b[2].date())[:3]
-        near = sorted(b[0] for b in old if a[3] != b[3] and hours(a[2], b[2]) <= 3 and overlap(a, b))[:3]
-        bare = sorted(b[0] for b in old if a[3] != b[3] and hours(a[2], b[2]) <= 1 and (not a[4] or not b[4]))[:3]
-        layers[3] = near or bare
-        scored = sorted((distance(a[1].lower(), b[1].lower()), b[0]) for b in old if hours(a[2], b[2]) <= 24)
-        layers[4] = [i for s, i in scored if s <= 0.4][:3]
-        hits = [(1, i) for i in layers[1]] + [(n, i) for n in (2, 3, 4) for i in layers[n] if (a[0], i) in agreed]
-        out[a[0]] = min(hits, default=(None, None))[::-1]
+        same_id = [b[0] for b in old if a[3] and a[7] and (a[3], a[7]) == (b[3], b[7])]
+        keyed = [b[0] for b in old if a[6] == b[6]][:1] or same_id[-1:]
+        exact = [b[0] for b in old if norm(a[1]) and norm(a[1]) == norm(b[1]) and (hours(a[2], b[2]) <= 12 or (norm(a[4]) and norm(a[4]) == norm(b[4]) and hours(a[2], b[2]) <= 48))]
+        same = [b[0] for b in old if a[3] == b[3] and a[2] and b[2] and a[2].date() == b[2].date()][:3]
+        other = [b for b in old if a[3] != b[3] and near(a[2], b[2], 3)]
+        venue = [b[0] for b in other if overlap(a, b)][:3]
+        bare = [b[0] for b in other if hours(a[2], b[2]) <= 1 and (not a[4] or not b[4])][:3]
+        scored = sorted((distance(a[1].lower(), b[1].lower()), b[8], b[0]) for b in old if hours(a[2], b[2]) <= 24)
+        fuzzy = [i for s, _, i in scored if s <= 0.4][:3]
+        hits = [(0, i) for i in keyed] + [(1, i) for i in exact]
+        hits += [(n, i) for n, layer in ((2, same), (3, venue or bare), (4, fuzzy)) for i in layer if (a[0], i) in agreed]
+        out[a[0]] = hits[0][::-1] if hits else (None, None)
     return out
 
 
@@ -80,6 +93,25 @@ def test_cascade(spark, seed):
     assert {r.id: (r.match_id, r.layer) for r in got} == plain_cascade(new, old, agreed)
 
 
+def test_reconciler_edges(spark):
+    rows = entries(3)
+    got = {(r.a_id, r.b_id) for r in dedup.reconciler_edges(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = set()
+    for a in rows:
+        for b in rows:
+            titles = distance(a[1].lower(), b[1].lower()) <= 0.45 and hours(a[2], b[2]) <= 48
+            venues = hours(a[2], b[2]) <= 3 and overlap(a, b) or hours(a[2], b[2]) <= 1 and not a[4] and not b[4]
+            if a[0] != b[0] and (titles or venues):
+                want.add((a[0], b[0]))
+    assert got == want
+
+
+def test_merge_targets(spark):
+    rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 99), (8, 8), (9, 10), (10, 9)]
+    got = {r.id: r.target for r in dedup.merge_targets(spark.createDataFrame(rows, "id long, merged_into_id long")).collect()}
+    assert {i: got[i] for i in (2, 3, 4, 5, 6, 7)} == {2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 99}
+
+
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_greedy_clusters(spark, bound):
     rng = random.Random(5)
