@@ -87,6 +87,9 @@ def matches(text: Column, patterns) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
+    """Long lists are searched as an array, so that the generated code stays small."""
+    if len(words) > 12:
+        return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
     return any_of([F.contains(text, F.lit(w)) for w in words])
 
 
@@ -129,7 +132,7 @@ def garbage_text(text: Column) -> Column:
 
 def first_contained(text: Column, words) -> Column:
     """The first word of the list, in its order, that text contains; null if none."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
+    return F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(0))
 
 
 def location_verdict(*parts: Column, outside=OUTSIDE_CITIES, local=LOCAL_TERMS, shortest: int = 4) -> Column:
@@ -273,7 +276,7 @@ def error_category(message: Column) -> Column:
 def harvested_paragraphs(text: Column, shortest: int = 30, most: int = 3, prefixes=("venue:", "when:", "where:", "date:", "time:")) -> Column:
     """The first paragraphs that are long enough and no metadata, divided by blank lines."""
     keep = lambda p: (F.length(p) >= shortest) & ~any_of([F.lower(p).startswith(x) for x in prefixes])
-    return F.array_join(F.slice(F.filter(F.transform(F.split(text, "\n"), F.trim), keep), 1, most), "\n\n")
+    return F.array_join(F.slice(F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), keep), 1, most), "\n\n")
 
 
 def is_free(price: Column, accessible: Column | None = None, cost: Column | None = None) -> Column:

@@ -12,9 +12,22 @@ def live(events: DataFrame, include_deleted: bool = False) -> DataFrame:
     return events if include_deleted else events.where("deleted_at IS NULL")
 
 
-def faceted(events: DataFrame, audience: list[str] | None, levels: list[str] | None, free_only: bool = False, sources: list[str] | None = None) -> DataFrame:
-    """events(audience array, level, is_free, source): any of the audiences, one of the levels, and
-    known to be free if asked; an empty facet does not filter."""
+def started_since(events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Events that start after the look-back of so many days before as_of."""
+    return events.where(F.col("start_time") >= as_of - F.make_dt_interval(F.lit(days)))
+
+
+def starting(events: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:
+    """Live events(start_time, deleted_at) from as_of on; with days, up to so many later, inclusive."""
+    upcoming = live(events).where(F.col("start_time") >= as_of)
+    return upcoming if days is None else upcoming.where(F.col("start_time") <= as_of + F.make_dt_interval(F.lit(days)))
+
+
+def faceted(
+    events: DataFrame, audience: list[str] | None, levels: list[str] | None, free_only: bool = False, sources: list[str] | None = None, first: Column | None = None, last: Column | None = None
+) -> DataFrame:
+    """events(audience array, level, is_free, source, start_time): any of the audiences, one of the
+    levels and sources, known to be free if asked, and from first to last; an empty facet does not filter."""
     tests = []
     if audience:
         tests.append(F.arrays_overlap("audience", F.array(*map(F.lit, audience))))
@@ -24,6 +37,8 @@ def faceted(events: DataFrame, audience: list[str] | None, levels: list[str] | N
         tests.append(F.col("is_free").eqNullSafe(F.lit(True)))
     if sources:
         tests.append(F.col("source").isin(sources))
+    tests += [F.col("start_time") >= first] if first is not None else []
+    tests += [F.col("start_time") <= last] if last is not None else []
     return events.where(reduce(Column.__and__, tests)) if tests else events
 
 

@@ -21,3 +21,19 @@ def events_now():
 
 def orders_now():
     return F.lit(ORDERS_AS_OF).cast("timestamp")
+
+
+def registry():
+    """Queries, their SQL twins, and the decorator that adds to both."""
+    queries, oracles = {}, {}
+
+    def query(sql: str | None = None):
+        def add(fn):
+            queries[fn.__name__] = fn
+            if sql:
+                oracles[fn.__name__] = sql
+            return fn
+
+        return add
+
+    return queries, oracles, query
