@@ -101,3 +101,8 @@ def severity_rank(severity: Column, ranks: dict[str, int], default: int) -> Colu
 def by_activity(pivot: DataFrame, most: int) -> DataFrame:
     total = F.col("accepted") + F.col("rejected") + F.col("duplicated") + F.col("skipped")
     return pivot.withColumn("activity", total).orderBy(F.desc("activity"), "source").limit(most)
+
+
+def longest_unseen(rows: DataFrame, at: str, key: str, most: int) -> DataFrame:
+    """Rotation: never seen rows first, then those seen longest ago."""
+    return rows.orderBy(F.asc_nulls_first(at), key).limit(most)
