@@ -20,6 +20,8 @@ from calendrix.llm.common import ascii_lower, durable, fresh, whole_text, writte
 WORDS, BINS = 5, 128
 #: Ranges of documents, whose least keys are sent to every executor: 24 bytes each for numeric ids.
 MOST_RANGES = 200_000
+#: Ranges that a task works off, on average.
+RANGES_A_TASK = 8
 LOWEST = 0x0101010101010101
 
 
@@ -96,7 +98,7 @@ def _cuts(keys: DataFrame, ranges: int) -> DataFrame:
     return durable(listed.select(n.alias("width"), F.size("cuts").alias("n_cuts"), blocks.alias("blocks")))
 
 
-def with_next(docs: DataFrame, columns: list[str], per_range: int = 10_000, most: int = MOST_RANGES) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], per_range: int = 1000, most: int = MOST_RANGES) -> DataFrame:
     """docs(doc_id, text, ...) with next_<column> for each of columns, from the next document.
 
     The order is by descending doc_id, rows of one doc_id by descending text hash, and the first
@@ -116,7 +118,8 @@ def with_next(docs: DataFrame, columns: list[str], per_range: int = 10_000, most
     if not n:
         return unnamed
     width, n_cuts, blocks, own, place, sent = (fresh(docs, x) for x in ("width", "n_cuts", "blocks", "own_key", "place", "sent"))
-    cuts = _cuts(keys, max(1, min(-(-n // per_range), most))).toDF(width, n_cuts, blocks)
+    ranges = max(1, min(-(-n // per_range), most))
+    cuts = _cuts(keys, ranges).toDF(width, n_cuts, blocks)
     rows = named.crossJoin(F.broadcast(cuts))  # one row of at most `most` keys
     rows = rows.withColumn(own, F.struct(named["doc_id"].alias("doc_id"), digest.alias("digest")))
     # How many heads are not below the key: first of the blocks, then within the last such block.
@@ -129,6 +132,8 @@ def with_next(docs: DataFrame, columns: list[str], per_range: int = 10_000, most
     here, before = F.struct(at.alias("at"), F.lit(0).alias("sent")), F.struct(F.pmod(at - 1, F.col(n_cuts)).alias("at"), F.lit(1).alias("sent"))
     rows = rows.withColumn(place, F.explode(F.when(is_head, F.array(here, before)).otherwise(F.array(here))))
     rows = rows.select(*docs.columns, own, F.col(place)["at"].alias(place), F.col(place)["sent"].alias(sent))
+    # As many tasks as the ranges need: their number grows with the rows, their size does not.
+    rows = rows.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-ranges // RANGES_A_TASK)), place)
     order = Window.partitionBy(place).orderBy(sent, F.desc(own))
     led = rows.withColumns({"next_" + c: F.lead(c).over(order) for c in columns}).where(F.col(sent) == 0)
     return led.drop(own, place, sent).unionByName(unnamed)

@@ -132,14 +132,14 @@ def deviations(results: DataFrame, high: int = 10, most: int = 10) -> DataFrame:
 
 
 def stale_reports(reports: DataFrame, key: str, at: str, unique: str, least: int = 5, prefix: int = 100) -> DataFrame:
-    """(key, grade, streak, similar, stale): how many of the newest reports(grade, summary) agree with
+    """(key, grade, streak, alike, stale): how many of the newest reports(grade, summary) agree with
     the latest in grade, and in the beginning of the summary; stale if both reach the least."""
     ranked = top_of_each(reports.select(key, at, unique, "grade", F.substring(F.coalesce("summary", F.lit("")), 1, prefix).alias("head")), [key], [F.desc(at), unique], 1 << 30)
     first = ranked.where("rank = 1").select(key, F.col("grade").alias("_grade"), F.col("head").alias("_head"))
     met = ranked.join(first, key)
     run = lambda same: F.coalesce(F.min(F.when(~same, F.col("rank"))), F.count(F.lit(1)) + 1) - 1
-    out = met.groupBy(key, F.col("_grade").alias("grade")).agg(run(F.col("grade").eqNullSafe(F.col("_grade"))).alias("streak"), run(F.col("head") == F.col("_head")).alias("similar"))
-    return out.withColumn("stale", (F.col("streak") >= least) & (F.col("similar") >= least))
+    out = met.groupBy(key, F.col("_grade").alias("grade")).agg(run(F.col("grade").eqNullSafe(F.col("_grade"))).alias("streak"), run(F.col("head") == F.col("_head")).alias("alike"))
+    return out.withColumn("stale", (F.col("streak") >= least) & (F.col("alike") >= least))
 
 
 def scout_summary(probes: DataFrame) -> DataFrame:

@@ -138,10 +138,10 @@ def deviation_summary(spark, sf_dir):
 
 GRADED = """WITH g AS (SELECT o_custkey AS k, o_orderdate AS made, o_orderkey AS id, CASE WHEN o_totalprice > 60000 THEN 'A' ELSE 'B' END AS grade, substring(CASE WHEN o_orderkey % 9 = 0 THEN 'other' ELSE repeat('same ', 25) || o_orderkey END, 1, 100) AS head FROM orders),
  n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY made DESC, id) AS rn, first(grade) OVER (PARTITION BY k ORDER BY made DESC, id) AS g0, first(head) OVER (PARTITION BY k ORDER BY made DESC, id) AS h0 FROM g),
- s AS (SELECT k, g0 AS grade, coalesce(min(rn) FILTER (WHERE grade <> g0), count(*) + 1) - 1 AS streak, coalesce(min(rn) FILTER (WHERE head <> h0), count(*) + 1) - 1 AS similar FROM n GROUP BY 1, 2) """
+ s AS (SELECT k, g0 AS grade, coalesce(min(rn) FILTER (WHERE grade <> g0), count(*) + 1) - 1 AS streak, coalesce(min(rn) FILTER (WHERE head <> h0), count(*) + 1) - 1 AS alike FROM n GROUP BY 1, 2) """
 
 
-@query(GRADED + "SELECT k, grade, streak, similar, streak >= 5 AND similar >= 5 AS stale FROM s")
+@query(GRADED + "SELECT k, grade, streak, alike, streak >= 5 AND alike >= 5 AS stale FROM s")
 def report_staleness(spark, sf_dir):
     """Grades and beginnings of summaries that no longer change."""
     said = F.when(F.col("o_orderkey") % 9 == 0, "other").otherwise(F.concat(F.repeat(F.lit("same "), 25), F.col("o_orderkey").cast("string")))
