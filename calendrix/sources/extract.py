@@ -29,7 +29,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.scripts, self.cards, self.open, self.into, self.void = [], [], [], None, {"img", "br", "meta", "link", "input", "hr", "source"}
+        self.scripts, self.cards, self.links, self.open, self.into, self.void = [], [], [], [], None, {"img", "br", "meta", "link", "input", "hr", "source"}
         self.feed(html)
 
     def handle_starttag(self, tag, attrs):
@@ -41,6 +41,8 @@ class Page(HTMLParser):
             return
         if tag in self.void:
             return
+        if tag == "a" and a.get("href"):
+            self.links.append((a["href"], []))
         card = self.open[-1][1] if self.open else None
         if card is None and "event" in kind.split("__")[0] and tag in ("article", "div", "li", "section", "a"):
             card = {"title": [], "venue": [], "date": [], "link": None}
@@ -69,7 +71,10 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if self.into:
             self.scripts[-1][1].append(data)
-        elif self.open and self.open[-1][1] is not None:
+            return
+        if self.links and any(tag == "a" for tag, *_ in self.open):
+            self.links[-1][1].append(data)
+        if self.open and self.open[-1][1] is not None:
             part = next((p for _, c, p in reversed(self.open) if p and c is self.open[-1][1]), None)
             if part:
                 self.open[-1][1][part].append(data)
@@ -186,6 +191,87 @@ def apollo_events(state: dict, url: str, name: str | None) -> list[dict]:
     return out
 
 
+#: Where calendar pages keep their arrays of events, in the order in which they are tried.
+ARRAY_PATHS = (
+    ("data", "events"), ("events",), ("initialData", "data", "featured_items"), ("initialData", "featured_items"),
+    ("calendarData", "events"), ("calendar", "events"),
+)
+
+
+def _at(value, path):
+    for key in path:
+        value = value.get(key) if isinstance(value, dict) else None
+    return value
+
+
+def _arrays(value, depth: int = 0) -> list[list]:
+    """Arrays of objects, to a bounded depth."""
+    if depth > 5 or not isinstance(value, (dict, list)):
+        return []
+    own = [value] if isinstance(value, list) and any(isinstance(x, dict) for x in value) else []
+    return own + [a for x in (value.values() if isinstance(value, dict) else value) for a in _arrays(x, depth + 1)]
+
+
+def array_events(items: list, url: str, name: str | None) -> list[dict]:
+    """Events of a calendar's array: those with a name and a slug or URL. The first host organises
+    before the calendar does."""
+    out = []
+    for item in (x for x in items if isinstance(x, dict)):
+        event = item.get("event") if isinstance(item.get("event"), dict) else item
+        slug = event.get("url") or event.get("slug")
+        if not event.get("name") or not isinstance(slug, str) or not slug:
+            continue
+        host = (item.get("hosts") or [{}])[0].get("name")
+        geo = item.get("geo_address_info") or event.get("geo_address_info") or {}
+        made = _event({**event, "startDate": event.get("start_at") or event.get("startDate"), "url": None}, url, host or (item.get("calendar") or {}).get("name") or name)
+        made |= {"url": slug if slug.startswith("http") else urljoin("https://lu.ma/", slug), "source_event_id": slug, "is_free": (item.get("ticket_info") or {}).get("is_free")}
+        made |= {"venue_name": geo.get("address") or geo.get("place_name") or event.get("venue_name"), "address": geo.get("full_address") or geo.get("short_address")}
+        made["organizer"] = host or (item.get("calendar") or {}).get("name") or name
+        out.append(made)
+    return out
+
+
+def calendar_arrays(props: dict, url: str, name: str | None) -> list[dict]:
+    """Events of the first known array that gives any, else of the largest array that does."""
+    known = [a for a in (_at(props, path) for path in ARRAY_PATHS) if isinstance(a, list)]
+    for items in [*known, *sorted(_arrays(props), key=len, reverse=True)]:
+        found = array_events(items, url, name)
+        if found:
+            return found
+    return []
+
+
+# Pages of the platform that are no events.
+NO_EVENTS = ("about", "contact", "pricing", "login", "signup", "explore", "discover")
+
+
+def linked(links, url: str, name: str | None) -> list[dict]:
+    """Events that a platform's page only links to: one path segment, and a text of 4 to 199 characters."""
+    out, own = {}, url.rstrip("/").rsplit("/", 1)[-1]
+    for href, body in links:
+        at, title = urljoin(url, href), " ".join("".join(body).split())
+        host, _, path = at.partition("://")[2].partition("/")
+        path = path.partition("?")[0].partition("#")[0]
+        if host.removeprefix("www.") not in ("lu.ma", "luma.com") or "/" in path or len(path) < 3 or path in NO_EVENTS or path == own:
+            continue
+        if 3 < len(title) < 200:
+            out.setdefault(at, {"title": title, "url": at, "source_event_id": path, "organizer": name})
+    return list(out.values())
+
+
+def patched_venue(event: dict, props: dict) -> dict:
+    """An event without a venue, with that of the first event of the page's Apollo state that has one."""
+    state = props.get("__APOLLO_STATE__")
+    if event.get("venue_name") or not isinstance(state, dict):
+        return event
+    for key, item in state.items():
+        place = state.get((item.get("venue") or {}).get("__ref")) if key.startswith("Event:") and isinstance(item, dict) else None
+        if place:
+            parts = [place.get(k) for k in ("address", "city", "state")]
+            return {**event, "venue_name": place.get("name"), "address": ", ".join(p for p in parts if p) or None}
+    return event
+
+
 def embedded(props: dict, url: str, name: str | None) -> list[dict]:
     """Events of the page properties: known places first, then anything that looks like one."""
     if not props:
@@ -201,9 +287,9 @@ def embedded(props: dict, url: str, name: str | None) -> list[dict]:
         return apollo_events(props["__APOLLO_STATE__"], url, name)
     if isinstance(props.get("event"), dict):
         return [_event(props["event"], url, name)]
-    if isinstance(props.get("events"), list) and props["events"]:
+    if isinstance(props.get("events"), list) and props["events"] and not any("event" in x for x in props["events"] if isinstance(x, dict)):
         return [_event(x, url, name) for x in props["events"] if isinstance(x, dict)]
-    return [_event(x, url, name) for x in _walk(props)]
+    return calendar_arrays(props, url, name) or [_event(x, url, name) for x in _walk(props)]
 
 
 def carded(cards: list[dict], url: str, name: str | None) -> list[dict]:
@@ -219,13 +305,17 @@ def page_events(html: str, url: str, name: str | None) -> tuple[str | None, int,
     """(strategy, candidates, events) of a page."""
     page = Page(html)
     found = [_event(x, url, name) for x in linked_data(page.scripts)]
+    props = page_props(page.scripts)
     if found:
-        return "json-ld", len(found), found
-    found = embedded(page_props(page.scripts), url, name)
+        return "json-ld", len(found), [patched_venue(e, props) for e in found] if len(found) == 1 else found
+    found = embedded(props, url, name)
     if found:
         return "nextdata", len(found), found
     found = carded(page.cards, url, name)
-    return ("css-selectors" if found else None), len(page.cards), found
+    if found:
+        return "css-selectors", len(page.cards), found
+    found = linked(page.links, url, name)
+    return ("html-links" if found else None), max(len(page.cards), len(found)), found
 
 
 def scraped(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calendrix.functions.semantics import or_else
@@ -32,39 +32,81 @@ def upcoming_events(events: DataFrame, as_of: Column) -> DataFrame:
     return events.where("deleted_at IS NULL").where(F.col("start_time") >= as_of)
 
 
-def location_label(venue: Column, location: Column, address: Column, default: str = "Austin, TX") -> Column:
+def one(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, which must be one: a second one fails the query when it is read."""
+    found = rows.where(F.col(key) == value).limit(2)
+    count = found.agg(F.count(F.lit(1)).alias("_n"))
+    checked = count.withColumn("_ok", F.assert_true(F.col("_n") == 1, F.concat(F.lit(f"{key} has rows: "), F.col("_n").cast("string"))))
+    return found.crossJoin(F.broadcast(checked)).where("_ok IS NULL").drop("_n", "_ok")
+
+
+def location_label(venue: Column, location: Column, address: Column, default: str) -> Column:
     return F.coalesce(or_else(venue, location, address), F.lit(default))
 
 
-def json_ld(events: DataFrame, zone: str = "America/Chicago", most: int = 500) -> DataFrame:
-    """One schema.org ItemList of the first `most` events by start, as a JSON string.
+def iso_local(at: Column, zone: str) -> Column:
+    """A local time with the offset that the zone has at that instant."""
+    local = F.from_utc_timestamp(at, zone)
+    minutes = ((F.unix_seconds(local) - F.unix_seconds(at)) / 60).cast("int")
+    part = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), part(F.floor(F.abs(minutes) / 60)), F.lit(":"), part(F.abs(minutes) % 60))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def json_ld_items(events: DataFrame, zone: str, place: str) -> DataFrame:
+    """(position, item): a schema.org Event as JSON for each event, in order of start.
 
-    events(id, title, start_time, end_time, venue_name, location, address, url, description). The
-    list is a page for readers, so that its length is a feature; numbering follows the top-k.
+    events(id, title, start_time, end_time, venue_name, location, address, url, description, organizer,
+    is_free); place is the address of those without one. Missing values, and events without a start,
+    are left out. A position is a rank within the hour and the number of events before that hour.
     """
-    first = events.orderBy("start_time", "id").limit(most)
-    iso = lambda c: F.date_format(F.from_utc_timestamp(c, zone), "yyyy-MM-dd'T'HH:mm:ss")
-    shift = (F.unix_seconds(F.from_utc_timestamp("start_time", zone)) - F.unix_seconds("start_time")) / 3600
-    offset = F.concat(F.when(shift < 0, "-").otherwise("+"), F.lpad(F.abs(shift).cast("int").cast("string"), 2, "0"), F.lit(":00"))
     item = F.struct(
         F.lit("Event").alias("@type"),
         F.col("title").alias("name"),
-        F.concat(iso("start_time"), offset).alias("startDate"),
-        F.concat(iso("end_time"), offset).alias("endDate"),
-        F.struct(F.lit("Place").alias("@type"), location_label(F.col("venue_name"), F.col("location"), F.col("address")).alias("name")).alias("location"),
-        F.col("description"),
+        iso_local(F.col("start_time"), zone).alias("startDate"),
+        iso_local(F.col("end_time"), zone).alias("endDate"),
+        F.struct(F.lit("Place").alias("@type"), location_label(F.col("venue_name"), F.col("location"), F.col("address"), place).alias("name"), F.coalesce(or_else(F.col("address")), F.lit(place)).alias("address")).alias("location"),
+        or_else(F.col("description")).alias("description"),
+        F.when(or_else(F.col("organizer")).isNotNull(), F.struct(F.lit("Organization").alias("@type"), F.col("organizer").alias("name"))).alias("organizer"),
         F.col("url"),
+        F.col("is_free").alias("isAccessibleForFree"),
+        F.lit("https://schema.org/OfflineEventAttendanceMode").alias("eventAttendanceMode"),
     )
-    rows = F.sort_array(F.collect_list(F.struct("start_time", "id", item.alias("item"))))
-    numbered = first.agg(F.transform(rows, lambda r, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), r["item"].alias("item"))).alias("items"))
-    return numbered.select(
-        F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.col("items").alias("itemListElement"))).alias("json")
-    )
-
-
-def run_log(decisions: DataFrame, run_id: str, started: Column, ended: Column) -> DataFrame:
-    """One row of counters for a run: how many decisions of each outcome, and its whole seconds."""
-    outcomes = ["accepted", "updated", "duplicated", "rejected", "skipped", "error"]
-    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in outcomes]
-    seconds = F.floor((F.unix_millis(ended) - F.unix_millis(started)) / 1000 + 0.5).alias("seconds")
-    return decisions.agg(*counts, F.count(F.lit(1)).alias("decisions")).select(F.lit(run_id).alias("run_id"), seconds, *outcomes, "decisions")
+    hour = F.date_trunc("hour", "start_time")
+    hours = events.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))  # as many rows as hours with events
+    before = F.coalesce(F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = events.withColumn("hour", hour).join(F.broadcast(hours.select("hour", before.alias("before"))), "hour")
+    rank = F.row_number().over(Window.partitionBy("hour").orderBy("start_time", "id"))
+    return placed.select((F.col("before") + rank).alias("position"), F.to_json(item).alias("item"))
+
+
+def json_ld(items: DataFrame, name: str, description: str) -> DataFrame:
+    """One ItemList of json_ld_items(), for a page that shows them all: it is one string."""
+    rows = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))), lambda r: F.concat(F.lit('{"position":'), r["position"].cast("string"), F.lit(","), F.substring(r["item"], F.lit(2), F.length(r["item"])))), ",").alias("items"))
+    head = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.lit(name).alias("name"), F.lit(description).alias("description")))
+    return rows.select(F.concat(F.regexp_replace(head, r"\}$", ',"itemListElement":['), F.col("items"), F.lit("]}")).alias("json"))
+
+
+RUN_COUNTERS = (
+    "queries_run", "new_sources_found", "new_queries_generated", "sources_scraped", "events_discovered", "events_validated", "events_added", "events_updated",
+    "duplicates_skipped", "errors", "claude_api_calls", "serpapi_calls",
+)
+
+
+def run_log(steps: DataFrame, kind: str, started: Column, ended: Column) -> DataFrame:
+    """One row for a run: its kind, times and whole seconds, twelve counters summed over steps(counters,
+    error, source, outcome, events), error messages in order, results by source and decisions by outcome."""
+    seconds = F.floor((F.unix_millis(ended) - F.unix_millis(started)) / 1000 + 0.5).cast("bigint")
+    counters = steps.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in RUN_COUNTERS])
+    messages = steps.where("error IS NOT NULL").groupBy("error").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list("error")).alias("error_messages"))
+    results = steps.where("source IS NOT NULL").groupBy("source").agg(F.sum("events").alias("events")).agg(F.array_sort(F.collect_list(F.struct("source", "events"))).alias("source_results"))
+    summary = steps.where("outcome IS NOT NULL").groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("decision_summary"))
+    row = counters.crossJoin(messages).crossJoin(results).crossJoin(summary)  # one row each
+    return row.select(F.lit(kind).alias("run_type"), started.alias("started_at"), ended.alias("completed_at"), seconds.alias("run_duration_seconds"), *RUN_COUNTERS, "error_messages", "source_results", "decision_summary")
+
+
+def seed(spark: SparkSession, as_of: Column, rows: list[tuple]) -> DataFrame:
+    """Starting rows (title, days from as_of, hour, source), with times reckoned from as_of's day."""
+    made = spark.createDataFrame(rows, "title STRING, days INT, hour INT, source STRING")
+    start = F.date_trunc("day", as_of) + F.make_dt_interval(F.col("days"), F.col("hour"))
+    return made.select("title", start.alias("start_time"), (start + F.expr("INTERVAL 2 HOURS")).alias("end_time"), "source")

@@ -1,12 +1,15 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from calendrix.functions import display
 from calendrix.operators import metrics
 from calendrix.sources import extract, tables
 from calendrix.streaming import page_views
 
+
 def now():
     return F.lit("2026-01-01 00:00:00").cast("timestamp")
 
@@ -67,13 +70,44 @@ def test_search_results_take_details_first(spark):
 
 
 def test_json_ld_export(spark):
-    rows = [(str(i), f"T{i}", dt.datetime(2026, 1 + 6 * i, 1, 18), None, "", None, None, "u", "d") for i in range(2)]
-    df = spark.createDataFrame(rows, "id string, title string, start_time timestamp, end_time timestamp, venue_name string, location string, address string, url string, description string")
-    out = json.loads(tables.json_ld(df).first().json)
-    items = [x["item"] for x in out["itemListElement"]]
-    assert [x["position"] for x in out["itemListElement"]] == [1, 2] and out["@type"] == "ItemList"
-    assert items[0]["startDate"] == "2026-01-01T12:00:00-06:00" and items[1]["startDate"] == "2026-07-01T13:00:00-05:00"
-    assert items[0]["location"]["name"] == "Austin, TX"
+    rows = [(str(i), f"T{i}", dt.datetime(2026, 1 + 6 * i, 1, 18), dt.datetime(2026, 7, 1) if i == 0 else None, "", None, None, "u", "d", "Org" if i else "", None) for i in range(2)]
+    df = spark.createDataFrame(rows, "id string, title string, start_time timestamp, end_time timestamp, venue_name string, location string, address string, url string, description string, organizer string, is_free boolean")
+    items = tables.json_ld_items(df, "America/Chicago", "Austin, TX")
+    out = json.loads(tables.json_ld(items, "Events", "All of them").first().json)
+    first, second = out["itemListElement"]
+    assert (out["@type"], out["name"], first["position"], second["position"]) == ("ItemList", "Events", 1, 2)
+    assert first["startDate"] == "2026-01-01T12:00:00-06:00" and first["endDate"] == "2026-06-30T19:00:00-05:00" and second["startDate"] == "2026-07-01T13:00:00-05:00"
+    assert first["location"] == {"@type": "Place", "name": "Austin, TX", "address": "Austin, TX"}
+    assert "organizer" not in first and second["organizer"]["name"] == "Org" and "endDate" not in second and "isAccessibleForFree" not in second
+    assert tables.iso_local(F.lit("2026-01-01").cast("timestamp"), "Asia/Kolkata") is not None
+    assert df.select(tables.iso_local(F.lit("2026-01-01").cast("timestamp"), "Asia/Kolkata")).first()[0].endswith("+05:30")
+
+
+def test_writes_can_be_switched_off(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "id long, name string")
+    path = str(tmp_path / "t")
+    assert tables.append(rows, path, dry_run=True).count() == 1 and not (tmp_path / "t").exists()
+    tables.append(rows, path)
+    tables.append(rows, path)
+    assert tables.read(spark, path, "id long, name string").count() == 2
+    tables.snapshot(rows, str(tmp_path / "u"), dry_run=True)
+    assert not (tmp_path / "u").exists()
+    assert tables.snapshot(rows, str(tmp_path / "u")).count() == 1
+
+
+def test_exactly_one_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, name string")
+    assert tables.one(rows, "id", 1).first().name == "a"
+    for value in (2, 3):
+        with pytest.raises(Exception, match="id has rows"):
+            tables.one(rows, "id", value).collect()
+
+
+def test_result_shapes(spark):
+    df = spark.sql("SELECT named_struct('events', array(1, 2)) AS r, CAST(NULL AS array<int>) AS bare UNION ALL SELECT NULL, array(3) UNION ALL SELECT NULL, NULL")
+    got = [r[0] for r in df.select(display.result_events(F.col("r"), F.col("bare"))).collect()]
+    assert got == [[1, 2], [3], []]
+    assert display.missing_settings({"a": "x", "b": "", "c": None}) == ["b", "c"]
 
 
 def test_streamed_views_match_batch(spark, tmp_path):
