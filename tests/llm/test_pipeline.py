@@ -4,7 +4,7 @@ import random
 import corpus_pipeline
 from test_line_dedup import plain as plain_lines
 from test_mixing import plain_copies
-from test_simhash import plain_components, plain_simhash
+from test_near_copies import plain_kept
 from test_toxicity import BAD, corpus
 
 from calendrix.llm import decontaminate, mixing, toxicity
@@ -37,8 +37,8 @@ def test_run_matches_brute_force(spark, tmp_path):
             if hashlib.sha256("\n".join(mask).encode()).hexdigest() == digests[i]:
                 lines[i] = "\n".join(mask)
     assert len(lines) == len(kept)
-    groups = plain_components(sorted((i, plain_simhash(t)) for i, t in lines.items()))
-    lines = {i: t for i, t in lines.items() if groups[i] == i}
+    kept_ids, _ = plain_kept(sorted(lines.items()))  # one of each group at 0.8 or more in five-word shingles
+    lines = {i: t for i, t in lines.items() if i in kept_ids}
     assert 2000 in lines and 2001 in lines and 2002 not in lines
     lines = {i: t for i, t in lines.items() if decontaminate.normalise(leak) not in decontaminate.normalise(t)}
     source = {r[0]: r[3] for r in rows}
@@ -57,3 +57,18 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+CLASHING = ["others", "own_id", "own_hash", "whole", "parts", "h1", "l_id", "dropped_at", "digest", "o_id", "o_digest", "root", "node", "copies", "pieces", "table", "own_source", "salt", "score", "y"]
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    rows = [(i, f"text number {i} of its own\nand a second line {i}", f"src{i % 2}") for i in range(40)] + [(100, None, None), (101, "", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang", "length(text) AS n_chars", *[f"concat('{c}', doc_id) AS {c}" for c in CLASHING])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage in any of these texts")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "copy_no", "mix_key"]
+    out = got.collect()
+    assert out and all(r[c] == f"{c}{r.doc_id}" for r in out for c in CLASHING)
