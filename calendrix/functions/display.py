@@ -93,7 +93,8 @@ def source_result(name: Column, url: Column, events: Column, status: Column, scr
 
 def result_events(result: Column, bare: Column) -> Column:
     """The events of a scrape, given in a result struct or as a bare array; none are an empty array."""
-    return F.coalesce(result["events"], bare, F.slice(bare, 1, 0), F.filter(result["events"], lambda _: F.lit(False)))
+    none = F.array_compact(F.array(F.get(bare, F.lit(0))))  # of the right type, and empty where it is used
+    return F.coalesce(result["events"], bare, none)
 
 
 def scraper_for(source_type: Column) -> Column:

@@ -33,11 +33,12 @@ def upcoming_events(events: DataFrame, as_of: Column) -> DataFrame:
 
 
 def one(rows: DataFrame, key: str, value) -> DataFrame:
-    """The row of a key, which must be one: a second one fails the query when it is read."""
+    """The row of a key, which must be one: none or a second one fails the query when it is read."""
     found = rows.where(F.col(key) == value).limit(2)
-    count = found.agg(F.count(F.lit(1)).alias("_n"))
-    checked = count.withColumn("_ok", F.assert_true(F.col("_n") == 1, F.concat(F.lit(f"{key} has rows: "), F.col("_n").cast("string"))))
-    return found.crossJoin(F.broadcast(checked)).where("_ok IS NULL").drop("_n", "_ok")
+    n = F.count(F.lit(1))
+    best = found.agg(F.first(F.struct(*rows.columns)).alias("row"), n.alias("n"))
+    wrong = F.raise_error(F.concat(F.lit(f"{key} has rows: "), F.col("n").cast("string"))).cast(best.schema["row"].dataType)
+    return best.select(F.when(F.col("n") == 1, F.col("row")).otherwise(wrong).alias("row")).select("row.*")
 
 
 def location_label(venue: Column, location: Column, address: Column, default: str) -> Column:
