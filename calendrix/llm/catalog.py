@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
+from calendrix.llm import conversations, decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_fingerprints(spark, sf_dir):
     return near.withColumns(hexes).select("doc_id", "n_chars", "edited_sha256", *hexes, "near_edited", "near_next")
 
 
+def op11_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.report(turns, conversations.damage(turns))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_conversations": op11_conversations,
 }
 
 LINE_DEDUP_SQL = r"""
