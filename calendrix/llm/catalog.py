@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import conversations, decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter
+from calendrix.llm import conversations, decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op11_conversations(spark, sf_dir):
     return conversations.report(turns, conversations.damage(turns))
 
 
+def op12_whitening(spark, sf_dir):
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
     "op11_conversations": op11_conversations,
+    "op12_whitening": op12_whitening,
 }
 
 LINE_DEDUP_SQL = r"""
