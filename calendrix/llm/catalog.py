@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.llm import conversations, decontaminate, hmm, licences, line_dedup, minhash, mixing, simhash, token_counts, toxicity, url_filter, whitening
+from calendrix.llm import conversations, decontaminate, hmm, licences, line_dedup, minhash, mixing, quality, simhash, token_counts, toxicity, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op12_whitening(spark, sf_dir):
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op13_quality(spark, sf_dir):
+    rows = quality.featured(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(rows, quality.train(rows))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mix_sources": op2_mix_sources,
@@ -87,6 +92,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_conversations": op11_conversations,
     "op12_whitening": op12_whitening,
+    "op13_quality": op13_quality,
 }
 
 LINE_DEDUP_SQL = r"""
