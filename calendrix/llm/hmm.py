@@ -149,7 +149,7 @@ def _blocks(sequences: list[np.ndarray]):
         lengths = np.array([len(sequences[i]) for i in own])
         going = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         begin = np.r_[0, np.cumsum(going)]
-        flat = np.empty(begin[-1], np.int64)
+        flat = np.empty(begin[-1], sequences[own[0]].dtype)
         for j, i in enumerate(own):
             flat[begin[: lengths[j]] + j] = sequences[i]
         yield own, flat, begin
@@ -173,33 +173,64 @@ def log_likelihoods(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _spans(begin: np.ndarray) -> list[tuple[int, int]]:
+    """Times from and to of consecutive pieces of a block, each of up to BLOCK tokens: a block of
+    more is one long text."""
+    spans, at, steps = [], 0, len(begin) - 1
+    while at < steps:
+        end = max(at + 1, int(np.searchsorted(begin, begin[at] + BLOCK, side="right")) - 1)
+        spans.append((at, end))
+        at = end
+    return spans
+
+
+def _forward(model: Hmm, seen: np.ndarray, begin: np.ndarray, before: np.ndarray | None):
+    """Scaled forward probabilities and scales over one span; before: those of the step that precedes it."""
+    alpha, scale = np.empty_like(seen), np.empty(len(seen))
+    for t in range(len(begin) - 1):
+        here, n = slice(begin[t], begin[t + 1]), begin[t + 1] - begin[t]
+        a = (model.start if before is None else before[:n] @ model.moves) * seen[here]
+        scale[here] = a.sum(1)
+        before = alpha[here] = a / scale[here][:, None]
+    return alpha, scale
+
+
 def expected_counts(model: Hmm, sequences: list[np.ndarray]):
-    """(start, moves, emits) counts expected under the model: one Baum-Welch expectation step."""
+    """(start, moves, emits) counts expected under the model: one Baum-Welch expectation step.
+
+    Of a block's spans only the forward probabilities at their ends are held; each span's own are made
+    again on the way back. So a text of any length needs the memory of BLOCK tokens, and a block of one
+    span is passed over once.
+    """
     k, symbols = model.emits.shape
     start, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
     columns = np.ascontiguousarray(model.emits.T)
-    for own, flat, begin in _blocks(sequences):
-        steps = len(begin) - 1
-        seen = columns[flat]
-        alpha, scale = np.empty((len(flat), k)), np.empty(len(flat))
-        for t in range(steps):
-            here = slice(begin[t], begin[t + 1])
-            n = begin[t + 1] - begin[t]
-            a = (model.start if t == 0 else alpha[begin[t - 1] : begin[t - 1] + n] @ model.moves) * seen[here]
-            scale[here] = a.sum(1)
-            alpha[here] = a / scale[here][:, None]
-        beta = np.ones((begin[steps] - begin[steps - 1], k))
-        for t in range(steps - 2, -1, -1):
-            here, n = slice(begin[t], begin[t + 1]), begin[t + 2] - begin[t + 1]
-            after = slice(begin[t + 1], begin[t + 2])
-            message = seen[after] * beta / scale[after][:, None]
-            moves += alpha[begin[t] : begin[t] + n].T @ message
-            beta = np.ones((begin[t + 1] - begin[t], k))
-            beta[:n] = message @ model.moves.T
-            alpha[here] *= beta  # from here on the probabilities of the states, given the text
-        start += alpha[: begin[1]].sum(0)
-        for state in range(k):
-            emits[:, state] += np.bincount(flat, alpha[:, state], symbols)
+    for _, flat, begin in _blocks(sequences):
+        spans = _spans(begin)
+        part = lambda span: (flat[begin[span[0]] : begin[span[1]]], begin[span[0] : span[1] + 1] - begin[span[0]])  # noqa: E731, B023
+        ends: list[np.ndarray | None] = [None]
+        for span in spans[:-1]:
+            own, times = part(span)
+            alpha, _ = _forward(model, columns[own], times, ends[-1])
+            ends.append(alpha[times[-2] :].copy())
+        message = None  # from the step after the span
+        for span, before in zip(reversed(spans), reversed(ends)):
+            own, times = part(span)
+            seen = columns[own]
+            alpha, scale = _forward(model, seen, times, before)
+            for t in range(len(times) - 2, -1, -1):
+                here = slice(times[t], times[t + 1])
+                beta = np.ones((times[t + 1] - times[t], k))
+                if message is not None:
+                    n = len(message)
+                    moves += alpha[times[t] : times[t] + n].T @ message
+                    beta[:n] = message @ model.moves.T
+                message = seen[here] * beta / scale[here][:, None]
+                alpha[here] *= beta  # from here on the probabilities of the states, given the text
+            if before is None:
+                start += alpha[: times[1]].sum(0)
+            for state in range(k):
+                emits[:, state] += np.bincount(own, alpha[:, state], symbols)
     return start, moves * model.moves, emits.T
 
 

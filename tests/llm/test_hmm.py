@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,3 +140,23 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = hmm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0)
+
+
+def test_one_long_text_needs_the_memory_of_a_span(monkeypatch):
+    """Counts of spans along time are those of the whole text, and what is held does not grow with it."""
+    model, rng = small_model(4, 50), np.random.default_rng(1)
+    texts = [rng.integers(0, 50, n).astype(np.uint16) for n in (700, 3, 1, 90, 2500)]
+    whole = hmm.expected_counts(model, texts)
+    for block in (7, 64, 1000):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        for a, b in zip(whole, hmm.expected_counts(model, texts)):
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(hmm, "BLOCK", 5000)
+    peaks = []
+    for n in (20_000, 80_000):
+        text = rng.integers(0, 50, n).astype(np.uint16)
+        tracemalloc.start()
+        hmm.expected_counts(model, [text])
+        peaks.append(tracemalloc.get_traced_memory()[1] - 30 * n)  # the text, its times and what makes them
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] + 100_000
