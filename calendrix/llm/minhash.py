@@ -20,6 +20,8 @@ from calendrix.llm.common import ascii_lower, durable, fresh, whole_text, writte
 WORDS, BINS = 5, 128
 #: Ranges of documents, whose least keys are sent to every executor: 24 bytes each for numeric ids.
 MOST_RANGES = 200_000
+#: Ranges that one partition is cut into: there are at most MOST_RANGES / PARTED partitions.
+PARTED = 100
 #: Ranges that a task works off, on average.
 RANGES_A_TASK = 8
 LOWEST = 0x0101010101010101
@@ -89,10 +91,17 @@ def hexed(fingerprint: str) -> Column:
 
 def _cuts(keys: DataFrame, ranges: int) -> DataFrame:
     """One row: the greatest key(doc_id, digest) of each of about `ranges` ranges of keys of equal
-    size, in descending order; blocks: those keys in blocks of about the root of their number."""
-    ranged = keys.repartitionByRange(ranges, F.desc("doc_id"), F.desc("digest"))
-    heads = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.max(F.struct("doc_id", "digest")).alias("key"))
-    listed = heads.agg(F.sort_array(F.collect_set("key"), asc=False).alias("cuts"))  # `ranges` keys at most
+    size, in descending order; blocks: those keys in blocks of about the root of their number.
+
+    Keys are sorted in one partition for each PARTED ranges, of which every so-manieth is taken.
+    """
+    order = [F.desc("doc_id"), F.desc("digest")]
+    ranged = keys.repartitionByRange(-(-ranges // PARTED), *order).sortWithinPartitions(*order)
+    # The low 33 bits number the rows of a partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    size = max(1, -(-keys.count() // ranges))
+    heads = ranged.select(F.struct("doc_id", "digest").alias("key"), place.alias("place")).where(F.col("place") % size == 0)
+    listed = heads.agg(F.sort_array(F.collect_set("key"), asc=False).alias("cuts"))  # one for each range or partition
     n = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, n), lambda at: F.slice("cuts", at + 1, n))
     return durable(listed.select(n.alias("width"), F.size("cuts").alias("n_cuts"), blocks.alias("blocks")))
