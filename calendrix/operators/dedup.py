@@ -1,7 +1,8 @@
 """Duplicate detection: exact keys, time bands, venues, fuzzy titles, greedy clusters and merges.
 
 Band joins meet on a bucket of time: one side is listed under its own bucket and its neighbours, so
-that an equality join finds every pair within the band, and the exact test follows.
+that an equality join finds every pair within the band, and the exact test follows. Where only the
+first few by arrival count, bands.first_in_band() finds them without the pairs.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calendrix.functions.semantics import hours_between, midnight, or_else
-from calendrix.functions.text import normal_title, normal_venue, venue_fingerprints, venues_overlap
+from calendrix.functions.semantics import hours_between, or_else
+from calendrix.functions.text import normal_title, normal_venue, venue_fingerprints
 from calendrix.functions.urls import event_id_key, event_url_key
+from calendrix.operators.bands import first_in_band
+from calendrix.operators.fuzzy import close_strings, containing
 from calendrix.operators.selection import first_of, top_of_each
 
 
@@ -68,10 +71,6 @@ def arrival_of(df: DataFrame) -> list[Column]:
     return [F.col("arrival" if "arrival" in df.columns else "id").alias("arrival")]
 
 
-def _met(left: DataFrame, right: DataFrame, own: str, other: str, keys) -> DataFrame:
-    return left.join(right, [F.col(own) == F.col(other), *[F.col("a_" + k) == F.col("b_" + k) for k in keys]]).drop(own, other)
-
-
 def band_pairs(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column] | None = None, keys=()) -> DataFrame:
     """Pairs of a and b (id, start, ...), columns prefixed a_ and b_, at most `hours` whole hours
     apart and equal in all keys. Buckets are as wide as the band, hours + 1: a pair is in equal or
@@ -80,27 +79,20 @@ def band_pairs(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column]
     left = prefixed(a, "a_").where("a_start IS NOT NULL").withColumn("_bucket", F.floor(F.unix_seconds("a_start") / width))
     right = prefixed(b, "b_").where("b_start IS NOT NULL").withColumn("_own", F.floor(F.unix_seconds("b_start") / width))
     right = right.withColumn("_other", F.explode(F.array(*[F.col("_own") + k for k in (-1, 0, 1)]))).drop("_own")
-    met = _met(left, right, "_bucket", "_other", keys).where(hours_between(F.col("a_start"), F.col("b_start")) <= hours)
+    met = left.join(right, [F.col("_bucket") == F.col("_other"), *[F.col("a_" + k) == F.col("b_" + k) for k in keys]]).drop("_bucket", "_other")
+    met = met.where(hours_between(F.col("a_start"), F.col("b_start")) <= hours)
     return met.where(on()) if on else met
 
 
-def near_pairs(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column] | None = None, keys=()) -> DataFrame:
-    """band_pairs(), but a start of exactly midnight UTC is a day without a time: such rows meet
-    those of their UTC day, and no others."""
-    timed, dated = ~midnight(F.col("start")), midnight(F.col("start"))
-    found = band_pairs(a.where(timed), b.where(timed), hours, on, keys)
-    for left, right in ((a.where(dated), b), (a.where(timed), b.where(dated))):
-        left = prefixed(left, "a_").withColumn("_day", F.to_date("a_start"))
-        right = prefixed(right, "b_").withColumn("_their_day", F.to_date("b_start"))
-        met = _met(left, right, "_day", "_their_day", keys)
-        found = found.unionByName(met.where(on()) if on else met)
-    return found
-
-
 def same_source_day(a: DataFrame, b: DataFrame, most: int = 3) -> DataFrame:
-    """Candidates of one source and UTC day, the first `most` of each a by b's arrival."""
-    day = lambda df: df.select("id", "source", F.to_date("start").alias("day"), *arrival_of(df))
-    left, right = prefixed(day(a), "a_"), prefixed(day(b), "b_")
+    """Candidates of one source and UTC day, the first `most` of each a by b's arrival.
+
+    Of b only the first most + 1 of a source and day can be among them (one may be a itself), so a
+    busy source's day is cut to these before the two sides meet.
+    """
+    day = lambda df: df.select("id", "source", F.to_date("start").alias("day"), *arrival_of(df)).where("source IS NOT NULL AND day IS NOT NULL")
+    first = top_of_each(day(b), ["source", "day"], ["arrival", "id"], most + 1).drop("rank")
+    left, right = prefixed(day(a), "a_"), prefixed(first, "b_")
     met = left.join(right, (F.col("a_source") == F.col("b_source")) & (F.col("a_day") == F.col("b_day")) & (F.col("a_id") != F.col("b_id")))
     return _first_arrivals(met, most)
 
@@ -109,66 +101,53 @@ def _first_arrivals(met: DataFrame, most: int) -> DataFrame:
     return top_of_each(met.select("a_id", "b_id", "b_arrival"), ["a_id"], ["b_arrival", "b_id"], most).drop("b_arrival")
 
 
-def overlapping_venues(a: DataFrame, b: DataFrame, hours: int, on: Callable[[], Column], near=near_pairs) -> DataFrame:
-    """Distinct near pairs (a_id, b_id, b_arrival) of a and b (id, start, prints, ...) of which a
-    fingerprint of one contains one of the other.
-
-    Fingerprints have GRAM characters at least, so that the one that is contained begins with a
-    piece of that length that the other has somewhere: the pairs meet on it, and are tested then.
-    """
-    pieces = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (GRAM - 1)), lambda i: F.substring(p, i, F.lit(GRAM)))
-    every = lambda df: df.withColumn("g", F.explode(F.array_distinct(F.flatten(F.transform("prints", pieces)))))
-    first = lambda df: df.withColumn("g", F.explode(F.array_distinct(F.transform("prints", lambda p: F.substring(p, F.lit(1), F.lit(GRAM))))))
-    test = lambda: on() & venues_overlap(F.col("a_prints"), F.col("b_prints"))
-    found = near(every(a), first(b), hours, test, ["g"]).unionByName(near(first(a), every(b), hours, test, ["g"]))
-    return found.select("a_id", "b_id", "b_arrival", "a_start", "b_start").distinct()
-
-
-def _with_prints(df: DataFrame) -> DataFrame:
+def _venues(df: DataFrame) -> DataFrame:
+    """(id, source, start, arrival, prints, bare, k): k names the venue, null where it has no fingerprint."""
     prints = venue_fingerprints(F.col("venue"), F.col("address"), GRAM)
     bare = or_else(F.col("venue"), F.col("address")).isNull()
-    return df.select("id", "source", "start", prints.alias("prints"), bare.alias("bare"), *arrival_of(df))
+    part = df.select("id", "source", "start", *arrival_of(df), prints.alias("prints"), bare.alias("bare"))
+    return part.withColumn("k", F.when(F.size("prints") > 0, F.array_join("prints", "|")))
+
+
+def overlapping_venues(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct (a_k, b_k) of venues(prints, k) of which a fingerprint of one contains one of the other.
+    Venues are compared, not the rows that are held there."""
+    a, b = (df.where("k IS NOT NULL").select("k", F.explode("prints").alias("s")).distinct() for df in (a, b))
+    met = containing(a.select("s"), b.select("s"), GRAM).toDF("a_s", "b_s")
+    met = met.join(a.toDF("a_k", "a_s"), "a_s").join(b.toDF("b_k", "b_s"), "b_s")
+    return met.select("a_k", "b_k").distinct()
 
 
 def cross_source(a: DataFrame, b: DataFrame, hours: int = 3, most: int = 3) -> DataFrame:
     """Candidates of other sources within the hours (or on the day, for dates without a time) whose
     venues overlap, the first `most` by arrival; (id, source, start, venue, address)."""
-    on = lambda: ~F.col("a_source").eqNullSafe(F.col("b_source"))
-    known = lambda df: _with_prints(df.where("source <> ''") if df is a else df)
-    return _first_arrivals(overlapping_venues(known(a), known(b), hours, on), most)
+    left, right = _venues(a.where("source <> ''")), _venues(b)
+    wanted = left.join(overlapping_venues(left, right), F.col("k") == F.col("a_k")).select("id", "source", "start", F.col("b_k").alias("k"))
+    return _first_arrivals(first_in_band(wanted, right, hours, most), most)
 
 
 def cross_source_fallback(a: DataFrame, b: DataFrame, found: DataFrame, hours: int = 1, most: int = 3) -> DataFrame:
     """For those without cross_source candidates: an hour apart, where a side has no venue."""
     open_ = a.where("source <> ''").join(found.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
-    close = lambda: hours_between(F.col("a_start"), F.col("b_start")) <= hours
-    on = lambda: ~F.col("a_source").eqNullSafe(F.col("b_source")) & (F.col("a_bare") | F.col("b_bare")) & close()
-    return _first_arrivals(near_pairs(_with_prints(open_), _with_prints(b), hours, on), most)
-
-
-def title_distance(a: Column, b: Column) -> Column:
-    """Edits of the longer title's length: 0 for equal, 1 for wholly different titles."""
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    left, right = _venues(open_).withColumn("k", F.when(F.col("bare"), "any").otherwise("bare")), _venues(b)
+    right = right.withColumn("k", F.explode(F.when(F.col("bare"), F.array(F.lit("any"), F.lit("bare"))).otherwise(F.array(F.lit("any")))))
+    return _first_arrivals(first_in_band(left, right, hours, most, day_too=True), most)
 
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, hours: int = 24, threshold: float = 0.4, most: int | None = None, score=title_distance) -> DataFrame:
+def fuzzy_pairs(a: DataFrame, b: DataFrame, hours: int = 24, threshold: float = 0.4, most: int | None = None) -> DataFrame:
     """Pairs with close titles within the hours: (a_id, b_id, score); with `most`, the closest ones of
     each a, the earlier arrival first, and their rank.
 
-    score stands in for a fuzzy-search library. It is taken once for each pair of different titles
-    that come near each other in time, and lengths further apart than the threshold allows are
-    passed over before; rows then meet by their titles.
+    The edit distance by the longer title stands in for a fuzzy-search library. Different titles that come
+    near each other in time meet by a rare gram and are measured once; rows then meet by their titles.
     """
     width = (hours + 1) * 3600
     part = lambda df: df.select("id", "start", F.lower("title").alias("title"), *arrival_of(df))
     own, other = part(a), part(b)
     bucket = F.floor(F.unix_seconds("start") / width)
-    left = own.where("start IS NOT NULL").select(F.col("title").alias("a_title"), bucket.alias("_bucket")).distinct()
-    right = other.where("start IS NOT NULL").select(F.col("title").alias("b_title"), F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("_bucket")).distinct()
-    size = lambda c: F.length(c)
-    near = F.abs(size("a_title") - size("b_title")) <= F.greatest(size("a_title"), size("b_title")) * threshold
-    titles = left.join(right, "_bucket").where(near).select("a_title", "b_title").distinct()
-    titles = titles.withColumn("score", score(F.col("a_title"), F.col("b_title"))).where(F.col("score") <= threshold)
+    left = own.where("start IS NOT NULL").select(F.col("title").alias("s"), bucket.alias("bucket"))
+    right = other.where("start IS NOT NULL").select(F.col("title").alias("s"), F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("bucket"))
+    titles = close_strings(left, right, threshold, ("bucket",)).toDF("a_title", "b_title", "score")
     # The wanted titles of each a stand in for its own, so that the band join has a key beside time.
     asked = own.join(titles, F.col("title") == F.col("a_title")).select("id", "start", F.col("b_title").alias("title"), "score")
     met = band_pairs(asked, other, hours, keys=["title"]).where("a_id <> b_id")
@@ -178,20 +157,47 @@ def fuzzy_pairs(a: DataFrame, b: DataFrame, hours: int = 24, threshold: float =
     return met.select("a_id", "b_id", "score")
 
 
+def with_places(events: DataFrame) -> DataFrame:
+    """events whose location, if they have one, stands in for a missing venue."""
+    return events.withColumn("venue", or_else(F.col("venue"), F.col("location"))) if "location" in events.columns else events
+
+
 def reconciler_edges(events: DataFrame, threshold: float = 0.45, title_hours: int = 48, venue_hours: int = 3, bare_hours: int = 1) -> DataFrame:
-    """Pairs (a_id, b_id), both ways, that the reconciler groups: close titles within two days,
-    overlapping venues within three hours, or within one where neither side has a venue."""
-    part = _with_prints(events)
+    """Pairs (a_id, b_id), both ways, that the reconciler puts side by side: close titles within two days,
+    overlapping venues within three hours, or within one where neither side has a venue.
+
+    This lists every pair, for small windows; stars.groups() finds the groups without it.
+    """
+    part = _venues(with_places(events))
     titles = fuzzy_pairs(events, events, title_hours, threshold).select("a_id", "b_id")
     apart = lambda: F.col("a_id") < F.col("b_id")
-    venues = overlapping_venues(part, part, venue_hours, apart, band_pairs).select("a_id", "b_id")
-    bare = part.where("bare")
+    light = part.select("id", "start", "k", "bare")
+    met = overlapping_venues(part, part).where("a_k <= b_k")
+    left = light.join(met, F.col("k") == F.col("a_k")).select("id", "start", F.col("b_k").alias("k"))
+    venues = band_pairs(left, light.where("k IS NOT NULL"), venue_hours, lambda: F.col("a_id") != F.col("b_id"), keys=["k"]).select("a_id", "b_id")
+    bare = light.where("bare")
     bare = band_pairs(bare, bare, bare_hours, apart).select("a_id", "b_id")
     once = venues.union(bare)
     return titles.union(once).union(once.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).distinct()
 
 
-def cascade(new: DataFrame, existing: DataFrame, verdicts: DataFrame, confidence: float = 0.7) -> DataFrame:
+def candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, match_id, layer, place, sure) of layers 1 to 4 of cascade(), computed once and kept."""
+    checkpointed(new.sparkSession)
+    pairs = lambda df, layer, place, sure: df.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), F.lit(layer).alias("layer"), F.col(place).cast("double").alias("place"), F.lit(sure).alias("sure"))
+    venue = cross_source(new, existing).checkpoint()
+    found = (
+        pairs(exact_title_pairs(new, existing), 1, "b_arrival", True)
+        .union(pairs(title_venue_pairs(new, existing), 1, "b_arrival", True))
+        .union(pairs(same_source_day(new, existing), 2, "rank", False))
+        .union(pairs(venue, 3, "rank", False))
+        .union(pairs(cross_source_fallback(new, existing, venue), 3, "rank", False))
+        .union(pairs(fuzzy_pairs(new, existing, most=3), 4, "rank", False))
+    )
+    return found.checkpoint()
+
+
+def cascade(new: DataFrame, existing: DataFrame, verdicts: DataFrame, confidence: float = 0.7, found: DataFrame | None = None) -> DataFrame:
     """The best match of each new event among existing ones, and a trace of its candidates.
 
     Layers in order: 0 URL or source's id, 1 title within 12 h or title and venue within 48 h
@@ -199,21 +205,14 @@ def cascade(new: DataFrame, existing: DataFrame, verdicts: DataFrame, confidence
     fallback), 4 fuzzy title. Layers 2 to 4 count if verdicts(left_id, right_id, ok, confidence)
     agree. Both sides: id, title, start, source, venue, address, url, source_event_id; existing has
     arrival. What layer 0 settles goes no further. Returns id, match_id, layer, candidates (layer,
-    place, match_id). Events are held against existing ones, not against each other.
+    place, match_id). Events are held against existing ones, not against each other. found: candidates()
+    of the same events, for callers that asked for verdicts on them before.
     """
     keyed = match_existing(new.select("id", "url", "source", "source_event_id"), existing).where("existing_id IS NOT NULL")
     settled = keyed.select("id", F.col("existing_id").alias("match_id"), F.lit(0).alias("layer"), F.lit(0.0).alias("place"), F.lit(True).alias("sure"))
     open_ = new.join(settled.select("id"), "id", "left_anti")
-    pairs = lambda df, layer, place, sure: df.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), F.lit(layer).alias("layer"), F.col(place).cast("double").alias("place"), F.lit(sure).alias("sure"))
-    venue = cross_source(open_, existing)
-    found = (
-        settled.union(pairs(exact_title_pairs(open_, existing), 1, "b_arrival", True))
-        .union(pairs(title_venue_pairs(open_, existing), 1, "b_arrival", True))
-        .union(pairs(same_source_day(open_, existing), 2, "rank", False))
-        .union(pairs(venue, 3, "rank", False))
-        .union(pairs(cross_source_fallback(open_, existing, venue), 3, "rank", False))
-        .union(pairs(fuzzy_pairs(open_, existing, most=3), 4, "rank", False))
-    )
+    rest = candidates(open_, existing) if found is None else found.join(settled.select("id"), "id", "left_anti")
+    found = settled.union(rest.select(settled.columns))
     said = verdicts.where(F.col("ok") & (F.col("confidence") > confidence)).select(F.col("left_id").alias("id"), F.col("right_id").alias("match_id"), F.lit(True).alias("agreed"))
     judged = found.join(said.distinct(), ["id", "match_id"], "left")
     taken = F.col("sure") | F.coalesce("agreed", F.lit(False))

@@ -98,12 +98,9 @@ def fuzzy_title_pairs(spark, sf_dir):
     return d.fuzzy_pairs(h, h, hours=2).select("a_id", "b_id", F.round("score", 4).alias("score"))
 
 
-def _verdicts(a, b):
+def _verdicts(found):
     """Two in three candidates of layers 2 to 4 are no duplicates."""
-    venue = d.cross_source(a, b)
-    fuzzy = d.fuzzy_pairs(a, b, most=3)
-    pairs = d.same_source_day(a, b).unionByName(venue).unionByName(d.cross_source_fallback(a, b, venue)).unionByName(fuzzy.drop("score"))
-    ids = pairs.select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
+    ids = found.where("layer >= 2").select(F.col("id").alias("left_id"), F.col("match_id").alias("right_id")).distinct()
     return ids.withColumns({"ok": (F.col("left_id") + F.col("right_id")) % 9 == 0, "confidence": F.when(F.col("left_id") % 4 == 0, 0.6).otherwise(0.9)})
 
 
@@ -131,7 +128,8 @@ SELECT n.id, match_id, CAST(layer AS INTEGER) AS layer, CAST(n_candidates AS INT
 @query(CASCADE)
 def dedup_cascade(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    return d.cascade(a, b, _verdicts(a, b)).select("id", "match_id", "layer", F.size("candidates").alias("n_candidates"))
+    found = d.candidates(a, b)
+    return d.cascade(a, b, _verdicts(found), found=found).select("id", "match_id", "layer", F.size("candidates").alias("n_candidates"))
 
 
 @query()
