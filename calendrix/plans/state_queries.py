@@ -132,14 +132,6 @@ def dedup_cascade(spark, sf_dir):
     return d.cascade(a, b, _verdicts(found), found=found).select("id", "match_id", "layer", F.size("candidates").alias("n_candidates"))
 
 
-@query()
-def greedy_clusters(spark, sf_dir):
-    rows = happenings(spark, sf_dir)
-    edges = d.exact_title_pairs(rows, rows, hours=2).where("a_id < b_id").select("a_id", "b_id")
-    edges = edges.union(edges.select("b_id", "a_id"))
-    return d.clusters(rows.select("id", "start"), edges, d.components(edges))
-
-
 KEYED = r"lower(split_part(regexp_replace(url, '/$', ''), '?', 1))"
 
 
