@@ -1,7 +1,7 @@
 """Monitor actions, repairs, plans, experiments, feedback and the human queue as state changes.
 
-Each function takes tables and returns new ones. Actions are a handful of rows by report; they are
-broadcast where they meet a table of state.
+Each function takes tables and returns new ones. Of each report the first five actions count, and
+the actions of all reports take effect in order of (report, pos): what one has changed the next one meets.
 """
 
 from __future__ import annotations
@@ -11,31 +11,65 @@ from pyspark.sql import functions as F
 
 from calendrix.functions.semantics import or_else
 from calendrix.functions.urls import host, normal_url, shared_platform, slug
-from calendrix.operators.selection import first_of
+from calendrix.operators.folds import folded
+from calendrix.operators.selection import first_of, top_of_each
 
 #: Columns of an action item with what an insert puts where none is given.
 ITEM_DEFAULTS = {"severity": "info", "category": "general", "action_type": "investigation"}
 
 
-def action_results(actions: DataFrame, queries: DataFrame, skips: DataFrame, most: int = 5) -> DataFrame:
-    """(pos, action, detail, result) of the first actions of a report.
+#: States of a stored query: not there; else (made by, switched on, boosted). "own" was there before.
+QUERY_STATES = [None, *((made, on, up) for made in ("own", "event_search", "source_discovery") for on in (True, False) for up in (False, True))]
 
-    actions(pos, type, query_text, source_url, reason, context, title, description, action_type,
-    auto_fixable, repair_id, verification_result, notes, action_item_id, detail); queries(query_text);
-    skips(pos, result) of skip_results(). Query actions without a text leave nothing.
+
+def _query_moves() -> dict[str, tuple[int, ...]]:
+    """What each action makes of each state."""
+    number = {s: n for n, s in enumerate(QUERY_STATES)}
+
+    def move(change):
+        return tuple(number[change(s)] for s in QUERY_STATES)
+
+    made = lambda kind: move(lambda s: s or (kind, True, False))
+    return {
+        "deactivate_query": move(lambda s: s and (s[0], False, s[2])),
+        "boost_query": move(lambda s: (s[0], True, True) if s and s[1] else s),
+        "create_query": made("event_search"),
+        "create_source_query": made("source_discovery"),
+    }
+
+
+def first_actions(actions: DataFrame, most: int = 5) -> DataFrame:
+    """The first `most` actions(report, pos, ...) of each report."""
+    return top_of_each(actions, ["report"], ["pos"], most).drop("rank")
+
+
+def folded_queries(actions: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, pos, known) of the query actions, known telling whether the text was there when its turn
+    came, and (query_text, state) of all texts after them."""
+    start = queries.select(F.col("query_text").alias("key"), F.when(F.col("is_active"), QUERY_STATES.index(("own", True, False))).otherwise(QUERY_STATES.index(("own", False, False))).alias("state"))
+    steps = actions.select(or_else(F.col("query_text")).alias("key"), F.col("type").alias("step"), "report", "pos").where(F.col("step").isin(list(_query_moves())))
+    met, after = folded(steps, ["report", "pos"], _query_moves(), start, len(QUERY_STATES))
+    return met.select("report", "pos", (F.col("state_before") != 0).alias("known")), after.select(F.col("key").alias("query_text"), "state")
+
+
+def action_results(actions: DataFrame, known: DataFrame, skips: DataFrame) -> DataFrame:
+    """(report, pos, action, detail, result) of first_actions().
+
+    actions(report, pos, type, query_text, source_url, reason, context, title, description, action_type,
+    auto_fixable, repair_id, verification_result, notes, action_item_id, detail); known(report, pos,
+    known) of folded_queries(); skips(report, pos, result) of skip_results(). Query actions without a text leave nothing.
     """
-    first = actions.orderBy("pos").limit(most)
-    known = queries.select("query_text", F.lit(True).alias("_known")).distinct()
-    met = first.join(known, "query_text", "left").join(skips.select("pos", F.col("result").alias("_skip")), "pos", "left")
+    met = actions.join(known, ["report", "pos"], "left").join(skips.select("report", "pos", F.col("result").alias("_skip")), ["report", "pos"], "left")
     kind, none = F.col("type"), lambda *cols: [or_else(F.col(c)).isNull() for c in cols]
     either = lambda tests: tests[0] if len(tests) == 1 else tests[0] | tests[1]
     source_query = kind == "create_source_query"
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     or_no = lambda c, other: F.coalesce(or_else(F.col(c)), F.lit(other))
     fixable = F.coalesce("auto_fixable", F.lit(False)).cast("string")
+    # The result texts.
     result = (
         F.when(kind == "deactivate_query", "Done")
-        .when(kind.isin("create_source_query", "create_query") & F.col("_known"), "Skipped (already exists)")
+        .when(kind.isin("create_source_query", "create_query") & F.col("known"), "Skipped (already exists)")
         .when(source_query, "Created (source_discovery)")
         .when(kind == "create_query", "Created (event_search)")
         .when(kind == "boost_query", "Boosted to 0.8")
@@ -54,34 +88,29 @@ def action_results(actions: DataFrame, queries: DataFrame, skips: DataFrame, mos
     )
     query_kinds = kind.isin("deactivate_query", "create_source_query", "create_query", "boost_query")
     detail = F.when(query_kinds, F.col("query_text")).otherwise(F.coalesce(*[or_else(F.col(c)) for c in ("source_url", "title", "repair_id", "action_item_id", "detail")], F.lit("unknown")))
-    return met.where(~(query_kinds & none("query_text")[0])).select("pos", kind.alias("action"), detail.alias("detail"), result.alias("result"))
+    return met.where(~(query_kinds & none("query_text")[0])).select("report", "pos", kind.alias("action"), detail.alias("detail"), result.alias("result"))
 
 
-def acted_queries(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """queries(query_text, is_active, priority, query_type, created_by) after action_results(): switched
+def acted_queries(queries: DataFrame, after: DataFrame) -> DataFrame:
+    """queries(query_text, is_active, priority, query_type, created_by) after folded_queries(): switched
     off, boosted to .8, and created at .7 or, for sources, 1."""
-    off = results.where("action = 'deactivate_query'").select(F.col("detail").alias("query_text"), F.lit(True).alias("_off")).distinct()
-    up = results.where("action = 'boost_query'").select(F.col("detail").alias("query_text"), F.lit(True).alias("_up")).distinct()
-    met = queries.join(F.broadcast(off), "query_text", "left").join(F.broadcast(up), "query_text", "left")
-    live = F.col("is_active") & F.coalesce("_off", F.lit(False))
-    boosted = F.col("is_active") & F.coalesce("_up", F.lit(False)) & F.col("_off").isNull()
-    now = met.withColumns({"priority": F.when(boosted, 0.8).otherwise(F.col("priority")), "is_active": F.when(live, False).otherwise(F.col("is_active"))}).drop("_off", "_up")
-    made = first_of(results.where("result LIKE 'Created (%'").where("action LIKE 'create%'"), ["detail"], ["pos"])
-    source = F.col("action") == "create_source_query"
-    return now.unionByName(
-        made.select(
-            F.col("detail").alias("query_text"), F.lit(True).alias("is_active"), F.when(source, 1.0).otherwise(0.7).alias("priority"),
-            F.when(source, "source_discovery").otherwise("event_search").alias("query_type"), F.lit("agent").alias("created_by"),
-        )
+    told = F.array(*[F.struct(F.lit(s[0] if s else None).cast("string").alias("made"), F.lit(bool(s and s[1])).alias("live"), F.lit(bool(s and s[2])).alias("up")) for s in QUERY_STATES])
+    now = after.where("state != 0").select(F.col("query_text"), F.get(told, F.col("state")).alias("s"))
+    met = now.join(queries, "query_text", "left")
+    own = F.col("s.made") == "own"
+    base = F.when(own, F.col("priority")).when(F.col("s.made") == "source_discovery", 1.0).otherwise(0.7)
+    return met.select(
+        "query_text", F.col("s.live").alias("is_active"), F.when(F.col("s.up"), 0.8).otherwise(base).alias("priority"),
+        F.when(own, F.col("query_type")).otherwise(F.col("s.made")).alias("query_type"), F.when(own, F.col("created_by")).otherwise("agent").alias("created_by"),
     )
 
 
 def acted_sources(sources: DataFrame, actions: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     """sources(url, tier, validation_context, demoted_at) after the actions: context set, or demoted."""
-    done = results.join(actions.select("pos", "source_url", "context"), "pos")
-    context = first_of(done.where("result LIKE 'Context set%'"), ["source_url"], [F.desc("pos")]).select(F.col("source_url").alias("url"), F.col("context").alias("_context"))
+    done = results.join(actions.select("report", "pos", "source_url", "context"), ["report", "pos"])
+    context = first_of(done.where("result LIKE 'Context set%'"), ["source_url"], [F.desc("report"), F.desc("pos")]).select(F.col("source_url").alias("url"), F.col("context").alias("_context"))
     out = done.where("result = 'Source demoted'").select(F.col("source_url").alias("url"), F.lit(True).alias("_out")).distinct()
-    met = sources.join(F.broadcast(context), "url", "left").join(F.broadcast(out), "url", "left")
+    met = sources.join(context, "url", "left").join(out, "url", "left")
     gone = F.coalesce("_out", F.lit(False))
     return met.withColumns(
         {"validation_context": F.coalesce("_context", "validation_context"), "tier": F.when(gone, "demoted").otherwise(F.col("tier")), "demoted_at": F.when(gone, as_of).otherwise(F.col("demoted_at"))}
@@ -89,10 +118,12 @@ def acted_sources(sources: DataFrame, actions: DataFrame, results: DataFrame, as
 
 
 def new_items(escalations: DataFrame, now: Column) -> DataFrame:
-    """Action items of escalations(title, description, severity, category, action_type, auto_fixable),
-    with the defaults of what is missing."""
+    """Action items of escalations(title, description, severity, category, action_type, auto_fixable, and
+    suggested_fix, affected_files, monitor_report_id if there), with the defaults of what is missing."""
     filled = {c: F.coalesce(or_else(F.col(c)), F.lit(default)) for c, default in ITEM_DEFAULTS.items()}
-    return escalations.withColumns({**filled, "auto_fixable": F.coalesce("auto_fixable", F.lit(False)), "is_resolved": F.lit(False), "repair_status": F.lit("pending"), "attempt_count": F.lit(0), "created_at": now})
+    kinds = {"suggested_fix": "string", "affected_files": "array<string>", "monitor_report_id": "bigint"}
+    carried = {c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in escalations.columns}
+    return escalations.withColumns({**carried, **filled, "auto_fixable": F.coalesce("auto_fixable", F.lit(False)), "is_resolved": F.lit(False), "repair_status": F.lit("pending"), "attempt_count": F.lit(0), "created_at": now})
 
 
 def parse_escalations(counters: DataFrame) -> DataFrame:
@@ -105,15 +136,18 @@ def parse_escalations(counters: DataFrame) -> DataFrame:
 
 def verified_repairs(items: DataFrame, repairs: DataFrame, verdicts: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """items(id, repair_status, is_resolved) and repairs(id, action_item_id, verification_result,
-    verified_at) after verdicts(repair_id, result): a verified repair resolves its item, any other
-    result fails it. Of verdicts on one item's repairs a failure counts."""
-    said = verdicts.groupBy(F.col("repair_id").alias("id")).agg(F.min("result").alias("_said"))
-    judged = repairs.join(F.broadcast(said), "id", "left")
+    verified_at) after verdicts(repair_id, result, pos) in order of pos: the last one on a repair stays
+    with it, the last one on an item's repairs sets the item's status, verified or else failed, and one that is
+    verified resolves the item for good."""
+    said = verdicts.groupBy(F.col("repair_id").alias("id")).agg(F.max_by("result", "pos").alias("_said"))
+    judged = repairs.join(said, "id", "left")
     judged = judged.withColumns({"verification_result": F.coalesce("_said", "verification_result"), "verified_at": F.when(F.col("_said").isNotNull(), as_of).otherwise(F.col("verified_at"))})
-    hit = judged.where("_said IS NOT NULL AND action_item_id IS NOT NULL").groupBy(F.col("action_item_id").alias("id")).agg(F.bool_and(F.col("_said") == "verified").alias("_good"))
+    good = F.col("result") == "verified"
+    owners = repairs.where("action_item_id IS NOT NULL").select(F.col("id").alias("repair_id"), F.col("action_item_id").alias("id"))
+    hit = verdicts.join(owners, "repair_id").groupBy("id").agg(F.max_by(good, "pos").alias("_last"), F.bool_or(good).alias("_ever"))
     met = items.join(hit, "id", "left")
-    status = F.when(F.col("_good"), "verified").when(~F.col("_good"), "failed").otherwise(F.col("repair_status"))
-    return met.withColumns({"repair_status": status, "is_resolved": F.col("is_resolved") | F.coalesce("_good", F.lit(False))}).drop("_good"), judged.drop("_said")
+    status = F.when(F.col("_last"), "verified").when(~F.col("_last"), "failed").otherwise(F.col("repair_status"))
+    return met.withColumns({"repair_status": status, "is_resolved": F.col("is_resolved") | F.coalesce("_ever", F.lit(False))}).drop("_last", "_ever"), judged.drop("_said")
 
 
 def open_queue(items: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:

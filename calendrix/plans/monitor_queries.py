@@ -21,26 +21,35 @@ KINDS = ["deactivate_query", "create_query", "create_source_query", "boost_query
 
 
 def actions(spark, sf_dir):
-    """orders as monitor actions, with fields missing here and there."""
+    """orders as monitor actions, the first five of each report of about eight, with fields missing here and there."""
     n = F.col("o_orderkey")
     known = F.when(n % 4 != 0, F.concat(F.lit("query "), (n % 700).cast("string")))
-    return table(spark, sf_dir, "orders").select(
-        n.alias("pos"), pick(KINDS, n).alias("type"), known.alias("query_text"), F.when(n % 3 != 0, F.concat(F.lit("https://s.example/"), (n % 40).cast("string"))).alias("source_url"),
+    asked = table(spark, sf_dir, "orders").select(
+        F.floor(n / 32).alias("report"), n.alias("pos"), pick(KINDS, n).alias("type"), known.alias("query_text"), F.when(n % 3 != 0, F.concat(F.lit("https://s.example/"), (n % 40).cast("string"))).alias("source_url"),
         F.lit("too old").alias("reason"), F.when(n % 5 != 0, F.lit("a context")).alias("context"), F.when(n % 2 == 0, F.lit("a title")).alias("title"), F.lit("why").alias("description"),
         F.lit(None).cast("string").alias("action_type"), (n % 7 == 0).alias("auto_fixable"), F.when(n % 2 == 1, n.cast("string")).alias("repair_id"), F.lit("verified").alias("verification_result"),
         F.lit(None).cast("string").alias("notes"), F.when(n % 6 != 0, n.cast("string")).alias("action_item_id"), F.lit(None).cast("string").alias("detail"),
     )
-
-
-RESULTS = f"""WITH a AS (SELECT o_orderkey AS pos, {picked(KINDS, 'o_orderkey')} AS type, CASE WHEN o_orderkey % 4 <> 0 THEN 'query ' || (o_orderkey % 700) END AS q, o_orderkey % 3 <> 0 AS has_url, 'https://s.example/' || (o_orderkey % 40) AS u FROM orders),
-r AS (SELECT *, CASE type WHEN 'deactivate_query' THEN 'Done' WHEN 'create_query' THEN CASE WHEN pos % 700 < 300 THEN 'Skipped (already exists)' ELSE 'Created (event_search)' END
- WHEN 'create_source_query' THEN CASE WHEN pos % 700 < 300 THEN 'Skipped (already exists)' ELSE 'Created (source_discovery)' END WHEN 'boost_query' THEN 'Boosted to 0.8' WHEN 'flag_source' THEN 'Flagged: too old'
+    return mo.first_actions(asked)
+
+
+RESULTS = f"""WITH RECURSIVE a AS (SELECT * FROM (SELECT o_orderkey // 32 AS report, row_number() OVER (PARTITION BY o_orderkey // 32 ORDER BY o_orderkey) AS turn, o_orderkey AS pos, {picked(KINDS, 'o_orderkey')} AS type, CASE WHEN o_orderkey % 4 <> 0 THEN 'query ' || (o_orderkey % 700) END AS q, o_orderkey % 3 <> 0 AS has_url, 'https://s.example/' || (o_orderkey % 40) AS u FROM orders) WHERE turn <= 5),
+k AS (SELECT DISTINCT 'query ' || (o_orderkey % 300) AS query_text, o_orderkey % 300 AS n FROM orders),
+turns AS MATERIALIZED (SELECT q AS query_text, pos, type, row_number() OVER (PARTITION BY q ORDER BY pos) AS rn FROM a WHERE q IS NOT NULL AND type IN ('deactivate_query', 'create_query', 'create_source_query', 'boost_query')),
+fold AS (SELECT query_text, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS pos, false AS was, n IS NOT NULL AS there, coalesce(n % 5 <> 0, false) AS is_active, n / 300::DOUBLE AS priority, CASE WHEN n IS NOT NULL THEN 'event_search' END AS query_type, CASE WHEN n IS NOT NULL THEN 'user' END AS created_by
+  FROM (SELECT query_text FROM k UNION SELECT query_text FROM turns) LEFT JOIN k USING (query_text)
+ UNION ALL SELECT f.query_text, t.rn, t.pos, there, there OR type LIKE 'create%', CASE WHEN type = 'deactivate_query' THEN false WHEN type LIKE 'create%' AND NOT there THEN true ELSE is_active END,
+  CASE WHEN type = 'boost_query' AND is_active THEN 0.8::DOUBLE WHEN type LIKE 'create%' AND NOT there THEN CASE WHEN type = 'create_query' THEN 0.7::DOUBLE ELSE 1::DOUBLE END ELSE priority END,
+  CASE WHEN type LIKE 'create%' AND NOT there THEN CASE WHEN type = 'create_query' THEN 'event_search' ELSE 'source_discovery' END ELSE query_type END, CASE WHEN type LIKE 'create%' AND NOT there THEN 'agent' ELSE created_by END
+  FROM fold f JOIN turns t ON t.query_text = f.query_text AND t.rn = f.rn + 1),
+r AS (SELECT a.*, CASE type WHEN 'deactivate_query' THEN 'Done' WHEN 'create_query' THEN CASE WHEN was THEN 'Skipped (already exists)' ELSE 'Created (event_search)' END
+ WHEN 'create_source_query' THEN CASE WHEN was THEN 'Skipped (already exists)' ELSE 'Created (source_discovery)' END WHEN 'boost_query' THEN 'Boosted to 0.8' WHEN 'flag_source' THEN 'Flagged: too old'
  WHEN 'add_source_context' THEN CASE WHEN has_url AND pos % 5 <> 0 THEN 'Context set: "a context..."' ELSE 'Skipped (missing source_url or context)' END
  WHEN 'escalate_to_human' THEN CASE WHEN pos % 2 = 0 THEN 'Created action item (investigation, auto_fixable=' || (pos % 7 = 0) || ')' ELSE 'Skipped (missing title or description)' END
  WHEN 'skip_source' THEN CASE WHEN NOT has_url THEN 'Skipped (missing source_url)' WHEN pos % 40 < 10 THEN 'Blocked: config source' ELSE 'Source demoted' END
  WHEN 'verify_repair' THEN CASE WHEN pos % 2 = 1 THEN 'verified: no notes' ELSE 'Skipped (missing repair_id or verification_result)' END
  WHEN 'resolve_action_item' THEN CASE WHEN pos % 6 <> 0 THEN 'Resolved' ELSE 'Skipped (missing action_item_id)' END ELSE 'Skipped (unknown action type)' END AS result,
- type IN ('deactivate_query', 'create_query', 'create_source_query', 'boost_query') AS of_query FROM a),
+ type IN ('deactivate_query', 'create_query', 'create_source_query', 'boost_query') AS of_query FROM a LEFT JOIN fold USING (pos)),
 res AS (SELECT pos, type AS action, CASE WHEN of_query THEN q WHEN has_url THEN u WHEN pos % 2 = 0 THEN 'a title' WHEN pos % 2 = 1 THEN CAST(pos AS VARCHAR) END AS detail, result, has_url, u FROM r WHERE NOT of_query OR q IS NOT NULL) """
 
 
@@ -55,30 +64,29 @@ def known_sources(spark, sf_dir):
     return made.select(F.concat(F.lit("https://s.example/"), F.col("n").cast("string")).alias("url"), F.when(F.col("n") < 10, "config").otherwise("probation").alias("tier"), none.cast("string").alias("validation_context"), none.cast("timestamp").alias("demoted_at"))
 
 
-def results(spark, sf_dir):
-    asked = actions(spark, sf_dir)
+def results(spark, sf_dir, asked):
     none = table(spark, sf_dir, "events").select(F.lit("https://s.example/").alias("url"), F.lit("other").alias("source"), F.col("ts").alias("created_at"))
     skips = i.skip_results(asked.where("type = 'skip_source' AND source_url IS NOT NULL").select("pos", "source_url", "reason"), known_sources(spark, sf_dir), none, events_now())
-    return mo.action_results(asked, known_queries(spark, sf_dir), skips, most=100_000_000)
+    known, after = mo.folded_queries(asked, known_queries(spark, sf_dir))
+    return mo.action_results(asked, known, skips.withColumn("report", F.floor(F.col("pos") / 32))), after
 
 
 @query(RESULTS + "SELECT pos, action, detail, result FROM res")
 def monitor_actions(spark, sf_dir):
-    return results(spark, sf_dir)
+    return results(spark, sf_dir, actions(spark, sf_dir))[0].select("pos", "action", "detail", "result")
 
 
-@query(RESULTS + """, k AS (SELECT DISTINCT 'query ' || (o_orderkey % 300) AS query_text, o_orderkey % 300 AS n FROM orders), off AS (SELECT DISTINCT detail FROM res WHERE action = 'deactivate_query'), up AS (SELECT DISTINCT detail FROM res WHERE action = 'boost_query')
-SELECT query_text, n % 5 <> 0 AND query_text NOT IN (FROM off) AS is_active, CASE WHEN n % 5 <> 0 AND query_text IN (FROM up) AND query_text NOT IN (FROM off) THEN 0.8::DOUBLE ELSE n / 300::DOUBLE END AS priority, 'event_search' AS query_type, 'user' AS created_by FROM k
-UNION ALL SELECT detail, true, CASE WHEN action = 'create_query' THEN 0.7::DOUBLE ELSE 1::DOUBLE END, CASE WHEN action = 'create_query' THEN 'event_search' ELSE 'source_discovery' END, 'agent'
-FROM (SELECT *, row_number() OVER (PARTITION BY detail ORDER BY pos) AS rn FROM res WHERE result LIKE 'Created (%' AND action LIKE 'create%') WHERE rn = 1""")
+@query(RESULTS + "SELECT query_text, is_active, priority, query_type, created_by FROM fold WHERE there QUALIFY row_number() OVER (PARTITION BY query_text ORDER BY rn DESC) = 1")
 def queries_after_actions(spark, sf_dir):
-    return mo.acted_queries(known_queries(spark, sf_dir), results(spark, sf_dir))
+    asked, queries = actions(spark, sf_dir), known_queries(spark, sf_dir)
+    return mo.acted_queries(queries, mo.folded_queries(asked, queries)[1])
 
 
 @query(RESULTS + """, s AS (SELECT DISTINCT 'https://s.example/' || (o_orderkey % 40) AS url, o_orderkey % 40 AS n FROM orders)
 SELECT url, CASE WHEN url IN (SELECT u FROM res WHERE has_url AND result LIKE 'Context set%') THEN 'a context' END AS validation_context, CASE WHEN url IN (SELECT u FROM res WHERE has_url AND result = 'Source demoted') THEN 'demoted' WHEN n < 10 THEN 'config' ELSE 'probation' END AS tier FROM s""")
 def sources_after_actions(spark, sf_dir):
-    after = mo.acted_sources(known_sources(spark, sf_dir), actions(spark, sf_dir), results(spark, sf_dir), orders_now())
+    asked = actions(spark, sf_dir)
+    after = mo.acted_sources(known_sources(spark, sf_dir), asked, results(spark, sf_dir, asked)[0], orders_now())
     return after.select("url", "validation_context", "tier")
 
 
@@ -99,14 +107,15 @@ def skip_guardrails(spark, sf_dir):
     return i.skip_results(asked, sources, events, events_now())
 
 
-@query("""WITH h AS (SELECT o_orderkey % 3000 AS item, min(CASE WHEN o_custkey % 3 = 0 THEN 'failed' ELSE 'verified' END) AS said FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 GROUP BY 1)
-SELECT o_orderkey AS id, coalesce(said, 'attempted') AS repair_status, coalesce(said = 'verified', false) OR o_orderstatus = 'F' AS is_resolved FROM orders LEFT JOIN h ON item = o_orderkey""")
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT o_orderkey % 3000 AS item, CASE WHEN o_custkey % 3 = 0 THEN 'failed' ELSE 'verified' END AS said, row_number() OVER (PARTITION BY o_orderkey % 3000 ORDER BY o_custkey, o_orderkey) AS rn FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0),
+h AS (SELECT o_orderkey AS id, CAST(0 AS BIGINT) AS rn, 'attempted' AS repair_status, o_orderstatus = 'F' AS is_resolved FROM orders UNION ALL SELECT id, v.rn, said, is_resolved OR said = 'verified' FROM h JOIN v ON item = id AND v.rn = h.rn + 1)
+SELECT id, repair_status, is_resolved FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1""")
 def repair_verification(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     items = orders.select(F.col("o_orderkey").alias("id"), F.lit("attempted").alias("repair_status"), (F.col("o_orderstatus") == "F").alias("is_resolved"))
     none = F.lit(None).cast("string")
     repairs = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 3000).alias("action_item_id"), none.alias("verification_result"), none.cast("timestamp").alias("verified_at"))
-    said = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("repair_id"), F.when(F.col("o_custkey") % 3 == 0, "failed").otherwise("verified").alias("result"))
+    said = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("repair_id"), F.when(F.col("o_custkey") % 3 == 0, "failed").otherwise("verified").alias("result"), F.struct("o_custkey", "o_orderkey").alias("pos"))
     return mo.verified_repairs(items, repairs, said, orders_now())[0]
 
 
