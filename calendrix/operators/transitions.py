@@ -1,6 +1,7 @@
 """State changes as pure functions of (state, input): each returns the new state, nothing is written.
 
-A table is updated by writing the returned snapshot under a new name. Inputs that could hold a key
+A table is updated by writing the returned snapshot under a new name, or in place, partition by
+partition, by sources.updates. Inputs that could hold a key
 twice are reduced to one row first, as no key is enforced.
 """
 
@@ -115,18 +116,26 @@ def repair_status(status: Column, attempts: Column, resolved: Column, most: int
     return F.when(~resolved & status.isin("pending", "failed") & (attempts >= most), "rolled_back").otherwise(status)
 
 
-def repairable(status: Column, resolved: Column, last_failure: Column, as_of: Column, hours: int = 24) -> Column:
-    cool = last_failure.isNull() | (last_failure < as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
-    return ~resolved & ~status.isin("proposed", "rolled_back") & cool
+def request_pieces(requests: DataFrame, key: str, at: str, hours: int) -> DataFrame:
+    """(key, day, piece) of the days on which each key has requests: a new piece begins after a pause of the
+    hours or more, where a limiter's state is empty. Only a row for each key's day is ordered."""
+    day = F.date_trunc("day", at)
+    days = requests.where(F.col(at).isNotNull()).groupBy(key, day.alias("day")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    order = Window.partitionBy(key).orderBy("day")
+    since = F.unix_micros("first") - F.unix_micros(F.lag("last").over(order))
+    begins = days.withColumn("begins", F.coalesce(since >= hours * 3_600_000_000, F.lit(False)).cast("int"))
+    return begins.select(key, "day", F.sum("begins").over(order).alias("piece"))
 
 
 def rate_limited(requests: DataFrame, key: str, most: int = 3, hours: int = 24) -> DataFrame:
     """requests(request_id, key, at) with accepted: at most `most` accepted ones in any window of
     the hours. Refused ones use no quota, so that decisions follow one another.
 
-    Requests of a key are read in order from sorted partitions; the state is the last accepted
-    times, whatever the number of requests. As each decision rests on those before it, a key's
-    requests go through one task: a hot key is read in a stream, but by one core.
+    Each decision rests on those before it, but not on what lies the hours or more before: a key's requests
+    are cut where it paused that long (24 or more; shorter hours are cut as 24 are), and its pieces are read side
+    by side, each in order from sorted partitions with the last accepted times as state. A key that
+    never pauses is one piece, read in a stream by one core: its decisions are one chain.
+    Requests without a time are refused; a null key is a key.
     """
     width = hours * 3600 * 1_000_000
 
@@ -134,17 +143,24 @@ def rate_limited(requests: DataFrame, key: str, most: int = 3, hours: int = 24)
         now, kept = None, []
         for pdf in batches:
             out = []
-            for name, at in zip(pdf["who"], pdf["micros"]):
-                if name != now:
-                    now, kept = name, []
+            for name, piece, at in zip(pdf["who"], pdf["piece"], pdf["micros"]):
+                if (name, piece) != now:
+                    now, kept = (name, piece), []
                 kept = [x for x in kept if at - x < width]
                 out.append(len(kept) < most)
                 if out[-1]:
                     kept.append(at)
             yield pd.DataFrame({"request_id": pdf["request_id"], "accepted": out})
 
-    rows = requests.select("request_id", F.col(key).alias("who"), F.unix_micros("at").alias("micros"))
-    return rows.repartition("who").sortWithinPartitions("who", "micros", "request_id").mapInPandas(run, "request_id bigint, accepted boolean")
+    # A text, so that a null key is told from all others.
+    rows = requests.select("request_id", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")).alias("who"), "at")
+    untimed = rows.where("at IS NULL").select("request_id", F.lit(False).alias("accepted"))
+    rows = rows.where("at IS NOT NULL")
+    pieces = request_pieces(rows, "who", "at", max(hours, 24))
+    met = rows.withColumn("day", F.date_trunc("day", "at")).join(pieces, ["who", "day"]).select("request_id", "who", "piece", F.unix_micros("at").alias("micros"))
+    kind = requests.schema["request_id"].dataType.simpleString()
+    dealt = met.repartition("who", "piece").sortWithinPartitions("who", "piece", "micros", "request_id")
+    return dealt.mapInPandas(run, f"request_id {kind}, accepted boolean").unionByName(untimed)
 
 
 def observer_triggers(results: DataFrame, high: int = 10) -> DataFrame:
