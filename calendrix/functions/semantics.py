@@ -16,10 +16,6 @@ def within_hours(a: Column, b: Column, hours: int) -> Column:
     return hours_between(a, b) <= hours
 
 
-def same_day(a: Column, b: Column, zone: str = "UTC") -> Column:
-    return local_day(a, zone) == local_day(b, zone)
-
-
 def local_day(at: Column, zone: str = "UTC") -> Column:
     return F.to_date(F.from_utc_timestamp(at.cast("timestamp"), zone))
 

@@ -19,7 +19,7 @@ BROAD_SEARCH = [
 SKIPPED_HOSTS = [
     "linkedin.com", "facebook.com", "twitter.com", "x.com", "youtube.com", "reddit.com", "medium.com", "substack.com", "wikipedia.org",
     "amazon.com", "github.com", "stackoverflow.com", "glassdoor.com", "indeed.com", "crunchbase.com", "yelp.com", "tripadvisor.com",
-    "news.google.com", "podcasts.apple.com", "spotify.com", "instagram.com", "austinai.events", "allevents.in",
+    "news.google.com", "podcasts.apple.com", "spotify.com", "instagram.com", "allevents.in",
 ]
 PAGED_OR_PAST = [r"(?i)[?&]page=\d", r"(?i)/page/\d+/", r"(?i)/events/month/\d{4}-\d{2}"]
 PLATFORMS = ["lu.ma", "luma.com", "meetup.com", "eventbrite.com", "eventbrite.co.uk"]
@@ -84,9 +84,9 @@ def broad_search(url: Column) -> Column:
     return matches(url, BROAD_SEARCH)
 
 
-def skipped_host(url: Column) -> Column:
-    """By substring, so that x.com also matches hosts that end in x.com."""
-    return contains_any(F.lower(url), SKIPPED_HOSTS)
+def skipped_host(url: Column, own: tuple[str, ...] = ()) -> Column:
+    """By substring, so that x.com also matches hosts that end in x.com; own are the caller's own hosts."""
+    return contains_any(F.lower(url), [*SKIPPED_HOSTS, *own])
 
 
 def event_page(link: Column) -> Column:

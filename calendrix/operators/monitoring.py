@@ -249,9 +249,3 @@ def completed_feedback(feedback: DataFrame, analyses: DataFrame, as_of: Column)
 def first_success(times_found: Column, last_run: Column, last_success: Column) -> Column:
     """last_success of a query when the column was introduced: its last run, if it ever found anything."""
     return F.when(times_found > 0, last_run).otherwise(last_success)
-
-
-def probed_events(pages: DataFrame, events: DataFrame, scraper: Column, tier: str = "probation") -> DataFrame:
-    """Events of probed pages(page_id, url), tagged with where they come from and a tier of their own."""
-    named = pages.select("page_id", F.col("url").alias("source_url"), scraper.alias("scraper"))
-    return events.join(named, "page_id").withColumn("source_tier", F.lit(tier))
