@@ -159,6 +159,13 @@ def _order(turn: str = "turn") -> Column:
     return F.struct(F.col(turn).isNotNull(), F.col(turn))
 
 
+def _row(role: str) -> Column:
+    """A key of conversation, turn, role and text hash; lengths and marks keep the parts apart."""
+    parts = [F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col(role), F.hex("hash")]
+    told = [F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.unhex(F.sha2(F.concat(*told), 256))
+
+
 def light_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, hash, blank, cut, later) without texts; later: the same role and text stand
     in an earlier turn. (Equal rows of one turn are found where they are neighbours.)"""
@@ -325,9 +332,12 @@ def repaired(turns: DataFrame, found: DataFrame, edits: DataFrame) -> DataFrame:
     kind = found.schema["conv_id"].dataType.simpleString()
     put = found.select("conv_id", "part", "seq", "turns").join(pieces, ["part", "seq"]).select("conv_id", "turns", "state", "at", "edits")
     put = put.mapInArrow(_put_out, f"conv_id {kind}, position bigint, role string, turn bigint, old_role string, hash binary")
-    texts = _whole(turns).dropDuplicates(["conv_id", "turn", "role", "hash"]).toDF("c", "t", "r", "text", "h")
-    same = put.conv_id.eqNullSafe(texts.c) & put.turn.eqNullSafe(texts.t) & (put.old_role == texts.r) & (put.hash == texts.h)
-    return put.join(texts, same, "left").select("conv_id", "position", "role", F.coalesce("text", F.lit("")).alias("text"))
+    # One key, so that the texts are dealt once for both the distinct ones and the join.
+    texts = _whole(turns).select(_row("role").alias("row"), "text").dropDuplicates(["row"])
+    # Inserted turns get a key that no text has, each its own, so that they are dealt evenly too.
+    none = F.unhex(F.sha2(F.concat(F.lit("insert"), F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.col("position")), 256))
+    put = put.select("conv_id", "position", "role", F.when(F.col("hash").isNotNull(), _row("old_role")).otherwise(none).alias("row"))
+    return put.join(texts, "row", "left").select("conv_id", "position", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _hashed(batches):
