@@ -1,14 +1,22 @@
-"""Near copies by exact likeness of shingle sets, for the pipeline's SimHash stage.
-
-The likeness of two texts is the Jaccard likeness of their sets of word shingles. A 64-bit SimHash
-cannot search at 0.8: such pairs differ in about 10 bits. Candidates are therefore texts that agree
-in all ROWS minima of one of BANDS bands of a MinHash, and each link is verified on the whole sets.
-A pair of likeness s is a candidate with probability 1-(1-s^ROWS)^BANDS: 0.99993 at 0.8, more above.
-
-Equal sets are one node from the start, however many documents have them. The members of a band's
-bucket are searched in one task, whole sets at hand, up to BUCKET of them. Larger buckets are dealt
-into parts by the minima of the next band, each with the bucket's least node beside it, so that no
-task takes a whole large bucket and no table of pairs is made; what a part misses, other bands find.
+"""Near copies by exact likeness of shingle sets: SimHash first, MinHash bands beyond its radius.
+
+The likeness of two texts is the Jaccard likeness of their sets of word shingles; a link is a pair of
+SIMILAR or more, verified on the whole sets. Equal sets are one node from the start, however many
+documents have them. Candidates come in rounds, and nodes that earlier rounds have joined are not
+compared again:
+
+1. SimHash's links (op1's fingerprints and covering tables), which join most near copies, each verified;
+2. MinHash bands, as a 64-bit SimHash cannot search at 0.8, where texts differ in about 10 bits: texts
+   that agree in all ROWS minima of one of BANDS bands. A pair of likeness s is among them with
+   probability 1-(1-s^ROWS)^BANDS: 0.99993 at 0.8, more above.
+
+A bucket of up to BUCKET nodes is searched in one task. A larger one is dealt into parts, each with the
+bucket's least node beside it, which joins what is alike to it; then one node for each group found so far is
+searched in the same way. Buckets that are still of more than one group, such as those of a template that
+thousands of texts fill in, are not left at that: their nodes get FINE_BANDS bands of FINE_ROWS
+minima (0.99998 at 0.8), which part what a template alone has in common. Buckets of those that are large and of several
+groups even then are compared block by block, everything outside the largest group with
+everything; no pair within the largest group is. So what is found does not depend on the sizes of buckets.
 """
 
 from __future__ import annotations
@@ -24,8 +32,13 @@ from pyspark.sql import functions as F
 
 from calendrix.llm.common import durable, fresh, whole_text, written
 from calendrix.llm.components import connected_components
+from calendrix.llm.simhash import links as simhash_links
+from calendrix.llm.simhash import simhash
 
 WORDS, SIMILAR, BANDS, ROWS, BUCKET, SEED = 5, 0.8, 24, 5, 512, 42
+FINE_BANDS, FINE_ROWS = 100, 10
+#: Shingles that a part of a bucket has on average, at most.
+PART = 1 << 22
 #: Shingles of one text whose minima are taken at a time.
 CHUNK = 1 << 13
 
@@ -64,19 +77,23 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def banded(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, digest of the text, node, bands) of each row; node stands for the shingle set."""
+    """(doc_id, digest of the text, node, size, print, bands) of each row; node stands for the shingle
+    set of that size, print is the SimHash."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            sets = [shingle_set(t, words) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
-            columns = [batch["doc_id"], batch["digest"], pa.array(nodes.view(np.int64)), _lists([band_keys(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", "bands"])
+            prints = np.fromiter(map(simhash, texts), np.uint64, len(texts))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            columns = [batch["doc_id"], batch["digest"], *map(pa.array, (nodes.view(np.int64), sizes, prints.view(np.int64))), _lists([band_keys(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", "size", "print", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = whole_text(docs)
     return docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(
-        run, f"doc_id {kind}, digest bigint, node bigint, bands array<bigint>"
+        run, f"doc_id {kind}, digest bigint, node bigint, size bigint, print bigint, bands array<bigint>"
     )
 
 
@@ -91,70 +108,171 @@ def shingled(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join the members of one bucket as all their links would."""
-    sizes, links = np.array([len(s) for s in sets]), []
-    left = np.arange(len(nodes))
-    while len(left) > 1:
-        todo, left = [left[0]], left[1:]
+def fine_bands(sets: DataFrame) -> DataFrame:
+    """(t, k, node, size) of sets(node, shingles): the bands of FINE_ROWS minima."""
+
+    def run(batches):
+        for batch in batches:
+            flat, offsets = batch["shingles"].values.to_numpy().view(np.uint64), batch["shingles"].offsets.to_numpy()
+            keys = [band_keys(flat[a:b], FINE_BANDS, FINE_ROWS) for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(np.diff(offsets).astype(np.int64)), _lists(keys)], ["node", "size", "bands"])
+
+    keys = sets.select("node", "shingles").mapInArrow(run, "node bigint, size bigint, bands array<bigint>")
+    return keys.select(F.posexplode("bands").alias("t", "k"), "node", "size")
+
+
+def _alike(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets are alike to one."""
+    sizes = np.array([len(y) for y in others])
+    able = np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own))
+    near = np.zeros(len(others), bool)
+    if able.any() and len(own):
+        flat = np.concatenate([y for y, a in zip(others, able) if a])
+        met = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes[able]) - sizes[able])
+        near[able] = common / (len(own) + sizes[able] - common) >= similarity
+    return near
+
+
+def _forest(nodes: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the groups of one task's members as all their links would. Two members of side 1 are
+    not compared: they are of one group, or compared elsewhere."""
+    links, left = [], np.arange(len(nodes))
+    while len(left):
+        todo = list(left[groups[left] == groups[left[0]]])
+        left = left[groups[left] != groups[left[0]]]
         while todo and len(left):
             x = todo.pop()
-            able = np.minimum(sizes[left], sizes[x]) >= similarity * np.maximum(sizes[left], sizes[x])
-            near = np.zeros(len(left), bool)
-            if able.any():
-                own, flat = sets[x], np.concatenate([sets[y] for y in left[able]])
-                met = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                other = sizes[left[able]]
-                common = np.add.reduceat(met.astype(np.int64), np.cumsum(other) - other)
-                near[able] = common / (sizes[x] + other - common) >= similarity
-            links += [(nodes[x], nodes[y]) for y in left[near]]
-            todo += list(left[near])
-            left = left[~near]
+            able = left[(sides[left] == 0) | (sides[x] == 0)]
+            near = able[_alike(sets[x], [sets[y] for y in able], similarity)] if len(able) else able
+            # One link for each group met, whose members all follow.
+            _, first = np.unique(groups[near], return_index=True)
+            links += [(nodes[x], nodes[y]) for y in near[first]]
+            met = np.isin(groups[left], groups[near])
+            todo += list(left[met])
+            left = left[~met]
     return links
 
 
 def _search(similarity: float):
-    """For rows sorted by part (t, k, part); a part may span batches."""
+    """For rows sorted by task; a task may span batches."""
 
-    def emit(nodes, sets):
-        found = np.array(_forest(np.array(nodes, np.int64), sets, similarity), np.int64).reshape(-1, 2)
+    def emit(nodes, groups, sides, sets):
+        found = _forest(np.array(nodes, np.int64), np.array(groups, np.int64), np.array(sides, np.int8), sets, similarity)
+        found = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
-        at, nodes, sets = None, [], []
+        at, held = None, ([], [], [], [])
         for batch in batches:
             flat, offsets = batch["shingles"].values.to_numpy().view(np.uint64), batch["shingles"].offsets.to_numpy()
-            rows = zip(zip(*[batch[c].to_pylist() for c in ("t", "k", "part")]), batch["node"].to_pylist())
-            for i, (key, node) in enumerate(rows):
+            columns = [batch[c].to_pylist() for c in ("t", "k", "part", "other", "node", "grp", "side")]
+            for i, (*key, node, group, side) in enumerate(zip(*columns)):
                 if key != at:
-                    if len(nodes) > 1:
-                        yield emit(nodes, sets)
-                    at, nodes, sets = key, [], []
-                nodes.append(node)
-                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
-        if len(nodes) > 1:
-            yield emit(nodes, sets)
+                    if len(held[0]) > 1:
+                        yield emit(*held)
+                    at, held = key, ([], [], [], [])
+                for column, value in zip(held, (node, group, side, flat[offsets[i] : offsets[i + 1]].copy())):
+                    column.append(value)
+        if len(held[0]) > 1:
+            yield emit(*held)
 
     return run
 
 
-def members(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(t, k, part, node) of nodes(node, bands): who is to be compared in which task."""
-    n = F.size("bands")
-    keyed = nodes.select("node", "bands", F.posexplode("bands").alias("t", "k"))
-    keyed = keyed.select("node", "t", "k", F.get("bands", (F.col("t") + 1) % n).alias("next"))
-    # Bands whose buckets have the same members are searched once.
-    counts = keyed.groupBy("t", "k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
-    )
-    once = counts.where("n > 1").groupBy("n", "head", "x", "y").agg(F.min(F.struct("t", "k")).alias("e"))
-    parts = F.ceil(F.col("n") / bucket)
-    met = keyed.join(durable(once.select("e.t", "e.k", parts.alias("parts"), "head")), ["t", "k"])
-    # The head goes to all parts.
-    part = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("next"), "parts").cast("int"))
-    )
-    return met.select("t", "k", F.explode(part).alias("part"), "node")
+class Links:
+    """The links found so far, and the groups that they make of the nodes."""
+
+    def __init__(self, sets: DataFrame, similarity: float, bucket: int):
+        self.sets, self.similarity, self.bucket = sets, similarity, bucket
+        self.links: DataFrame | None = None
+        self.groups: DataFrame | None = None  # components of all links, once they are asked for
+
+    def grouped(self, members: DataFrame, roughly: bool = False) -> DataFrame:
+        """members(node, ...) with grp, the least node of its group; roughly, the least of itself and what it is
+        linked with, which tells most groups in one step and joins none that are apart."""
+        if self.links is None:
+            return members.withColumn("grp", F.col("node"))
+        if roughly and self.groups is None:
+            both = self.links.union(self.links.select("b", "a"))
+            labels = both.groupBy(F.col("a").alias("own")).agg(F.least("a", F.min("b")).alias("component"))
+        else:
+            if self.groups is None:
+                self.groups = durable(connected_components(self.links))
+            labels = self.groups.select(F.col("node").alias("own"), "component")
+        return members.join(labels, members.node == labels.own, "left").withColumn("grp", F.coalesce("component", "node")).drop("own", "component")
+
+    def open_buckets(self, members: DataFrame) -> DataFrame:
+        """(t, k, n, head, parts) of the buckets of members(t, k, node, size, grp) of more than one group,
+        one for each set of members."""
+        counts = members.groupBy("t", "k").agg(
+            F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.min("grp").alias("least"), F.max("grp").alias("most"), F.sum("size").alias("size"),
+            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
+        parts = F.ceil(F.greatest(F.col("n") / self.bucket, F.col("size") / PART)).alias("parts")
+        once = counts.where("least < most").groupBy("n", "head", "size", "x", "y").agg(F.min(F.struct("t", "k")).alias("e"))
+        return once.select("e.t", "e.k", "n", "head", parts)
+
+    def compare(self, tasks: DataFrame) -> None:
+        """Searches tasks(t, k, part, other, node, grp, side) for links."""
+        met = tasks.join(self.sets, "node").repartition("t", "k", "part", "other").sortWithinPartitions("t", "k", "part", "other")
+        found = durable(met.select("t", "k", "part", "other", "node", "grp", "side", "shingles").mapInArrow(_search(self.similarity), "a bigint, b bigint"))
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.union(found)
+            self.groups = None
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Takes the pairs(a, b) that are alike."""
+        ends = F.explode(F.array("a", "b")).alias("node")
+        zero = F.lit(0)
+        self.compare(pairs.select(F.lit(-1).alias("t"), F.xxhash64("a", "b").alias("k"), F.col("a").alias("part"), F.col("b").alias("other"), ends).select("*", F.col("node").alias("grp"), zero.alias("side")))
+
+    def deal(self, members: DataFrame, found: DataFrame) -> None:
+        """Searches the buckets: one task, or parts that each have the bucket's head beside them."""
+        every = F.sequence(F.lit(0), F.col("parts").cast("int") - 1)
+        part = F.when((F.col("node") == F.col("head")) & (F.col("parts") > 1), every).otherwise(F.array(F.pmod(F.xxhash64("node"), "parts").cast("int")))
+        met = members.join(found, ["t", "k"])
+        self.compare(met.select("t", "k", F.explode(part).alias("part"), F.lit(0).alias("other"), "node", "grp", F.lit(0).alias("side")))
+
+    def search(self, members: DataFrame) -> DataFrame:
+        """Searches members(t, k, node, size); the members of large buckets that are still of several groups."""
+        now = durable(self.grouped(members, roughly=True))
+        found = durable(self.open_buckets(now))
+        if found.isEmpty():
+            return now.limit(0)
+        self.deal(now, found)
+        large = found.where("parts > 1").select("t", "k")
+        if large.isEmpty():
+            return now.limit(0)
+        # One node for each group of a large bucket.
+        rest = durable(self.grouped(now.join(large, ["t", "k"]).drop("grp")))
+        heads = rest.groupBy("t", "k", "grp").agg(F.min(F.struct("node", "size")).alias("e")).select("t", "k", "e.node", "e.size", "grp")
+        found = durable(self.open_buckets(heads))
+        if found.isEmpty():
+            return now.limit(0)
+        self.deal(heads, found)
+        rest = self.grouped(rest.drop("grp"))
+        return durable(rest.join(self.open_buckets(rest).where("parts > 1").select("t", "k"), ["t", "k"]))
+
+    def compare_blocks(self, members: DataFrame) -> None:
+        """Compares all members of buckets(t, k, node, size, grp) outside the bucket's largest group with all."""
+        sizes = members.groupBy("t", "k", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        whole = sizes.groupBy("t", "k").agg(
+            F.max_by("grp", F.struct("n", "grp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "grp", "size")).alias("m")
+        )
+        blocks = lambda n, size: F.ceil(F.greatest(n / self.bucket, size / PART, F.lit(1))).cast("int")
+        main, rest = blocks(F.col("m.n"), F.col("m.size")), blocks(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size"))
+        met = members.join(durable(whole.select("t", "k", "main", main.alias("parts"), rest.alias("others"))), ["t", "k"])
+        deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        pair = lambda part, other: F.struct(part.alias("part"), other.alias("other"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        # Blocks of the rest have numbers from 0, those of the largest group -1, -2 and so on. Two blocks meet once.
+        within = F.transform(upto("others"), lambda o: pair(F.least(o, deal("others")), F.greatest(o, deal("others"))))
+        beside = F.transform(upto("parts"), lambda p: pair(-1 - p, deal("others")))
+        is_main = F.col("grp") == F.col("main")
+        tasks = F.when(is_main, F.transform(upto("others"), lambda o: pair(-1 - deal("parts"), o))).otherwise(F.concat(within, beside))
+        met = met.withColumn("e", F.explode(tasks)).select("t", "k", "e.part", "e.other", "node", "grp", is_main.cast("int").alias("side"))
+        self.compare(met)
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
@@ -163,18 +281,33 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR, buc
     Texts without words are of one group; null is the empty text.
     """
     rows = written(banded(docs, words))
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("e"), F.any_value("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(
+        F.min(F.struct("doc_id", "digest")).alias("e"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"), F.min("print").alias("print")
+    )
     nodes = durable(nodes)
-    placed = durable(members(nodes, bucket))
+    prints = nodes.where("size > 0").groupBy(F.col("print").alias("x")).agg(F.min("node").alias("head"))
+    prints = durable(prints)
+    links = simhash_links(prints.select("x"))
+    a, b = prints.toDF("a", "a_head"), prints.toDF("b", "b_head")
+    apart = links.join(a, "a").join(b, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    same = nodes.join(prints, nodes.print == prints.x).where("node != head AND size > 0").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    hashed = durable(apart.union(same))
+    keyed = nodes.select(F.posexplode("bands").alias("t", "k"), "node", "size")
+    shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k")
+    shared = durable(keyed.join(durable(shared), ["t", "k"]))
     # Whole sets are made anew, and only of the texts that have something to be compared with.
-    wanted = placed.select("node").distinct().join(nodes, "node").select("node", F.col("e.doc_id").alias("own_id"), F.col("e.digest").alias("own_digest"))
+    met = shared.select("node").union(hashed.select("a")).union(hashed.select("b")).distinct()
+    wanted = met.join(nodes, "node").select("node", F.col("e.doc_id").alias("own_id"), F.col("e.digest").alias("own_digest"))
     texts = docs.select("doc_id", whole_text(docs).alias("text")).withColumn("digest", F.xxhash64("text"))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
-    sets = shingled(texts.select("node", "text").dropDuplicates(["node"]), words)
-    tasks = placed.join(sets, "node").repartition("t", "k", "part").sortWithinPartitions("t", "k", "part")
-    links = tasks.select("t", "k", "part", "node", "shingles").mapInArrow(_search(similarity), "a bigint, b bigint")
-    joined = connected_components(links).withColumnRenamed("node", "own")
-    return rows.join(joined, rows.node == joined.own, "left").select("doc_id", "digest", F.coalesce("component", "node").alias("root"))
+    sets = written(shingled(texts.select("node", "text").dropDuplicates(["node"]), words))
+    found = Links(sets, similarity, bucket)
+    found.verify(hashed)
+    left = found.search(shared)
+    if not left.isEmpty():
+        # Large buckets of several groups are looked at more finely.
+        found.compare_blocks(found.search(written(fine_bands(sets.join(left.select("node").distinct(), "node")))))
+    return found.grouped(rows.select("doc_id", "digest", "node")).select("doc_id", "digest", F.col("grp").alias("root"))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
