@@ -7,6 +7,7 @@ import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 20_000
 
 
-#: Folders of the tables written here, which are removed when the program ends.
+#: Folders of the tables written here, which are removed when the program ends, and the sessions that made checkpoints.
 _folders: dict[str, SparkSession] = {}
+_checkpointed: dict[str, SparkSession] = {}
+#: Database of the bucketed tables.
+RUNS = "calendrix_runs"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage at a copy that survives lost executors."""
     shared_dir(df.sparkSession)
+    # Spark gives each program a folder of its own in that folder.
+    _checkpointed[df.sparkSession.sparkContext.getCheckpointDir()] = df.sparkSession
     return df.checkpoint()
 
 
@@ -62,14 +68,20 @@ def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Like written(), with one sorted file for each bucket of the keys, so that tables of the same
     buckets are joined and grouped by them without a shuffle."""
     path = _new_folder(df.sparkSession)
-    name = "t_" + path.rsplit("-", 1)[-1]
+    name = f"{RUNS}.t_{path.rsplit('-', 1)[-1]}"
+    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {RUNS}")
     df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
 def _remove(path: str) -> None:
     spark = _folders.pop(path)
-    spark.sql(f"DROP TABLE IF EXISTS t_{path.rsplit('-', 1)[-1]}")
+    if spark.catalog.databaseExists(RUNS):
+        spark.sql(f"DROP TABLE IF EXISTS {RUNS}.t_{path.rsplit('-', 1)[-1]}")
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -83,12 +95,17 @@ def discard(df: DataFrame) -> None:
 
 @atexit.register
 def discard_all() -> None:
-    """Removes all tables written here; results that still read them must have been saved."""
+    """Removes all tables and checkpoints made here; results that still read them must have been saved."""
     for path in list(_folders):
         try:
             _remove(path)
         except Exception:  # the JVM has gone first; the folder is left to the cluster
             _folders.pop(path, None)
+    for path, spark in [_checkpointed.popitem() for _ in range(len(_checkpointed))]:
+        try:
+            _delete(spark, path)
+        except Exception:  # as above
+            continue
 
 
 class Sent:
@@ -114,6 +131,12 @@ def whole_text(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
+def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
+    """The texts of a batch of whole rows, whatever the column's case and type; null as empty."""
+    column = batch.column([c.lower() for c in batch.schema.names].index(text))
+    return [t or "" for t in column.cast(pa.string()).to_pylist()]
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only; lower() does the same, and faster, where all characters are ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

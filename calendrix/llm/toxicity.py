@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import durable, whole_text
+from calendrix.llm.common import durable, texts_of, whole_text
 
 ORDERS, PER_CLASS, FEATURES, MIN_DOCS, THRESHOLD, FOLDS, HELD_OUT = (4, 5, 6), 2000, 4096, 3, 0.7, 3, 1
 #: Characters of text looked at together.
@@ -237,7 +237,6 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(model.scores(texts) < threshold))
+            yield batch.filter(pa.array(model.scores(texts_of(batch)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,3 +72,10 @@ def test_columns_of_any_name_pass_through(spark, tmp_path):
     assert got.columns == [*docs.columns, "copy_no", "mix_key"]
     out = got.collect()
     assert out and all(r[c] == f"{c}{r.doc_id}" for r in out for c in CLASHING)
+
+
+def test_text_columns_of_another_case_and_checkpoints_of_a_run(spark):
+    docs = spark.createDataFrame([(1, "vlorg GRUMPF"), (2, None)], "doc_id long, TEXT string")
+    bench = spark.createDataFrame([(1, "no such passage in any of these texts")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {1, 2}
+    assert toxicity.without_toxic(docs, toxicity.Model(toxicity.np.zeros(0, "uint64"), toxicity.np.zeros(0), 0.0, constant=0.0)).count() == 2
