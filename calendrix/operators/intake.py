@@ -135,8 +135,7 @@ def skip_results(actions: DataFrame, sources: DataFrame, events: DataFrame, as_o
     recent = events.where((F.col("source") == "web-search") & (F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days))))
     recent = recent.select(host(F.col("url")).alias("host"), F.concat(path(F.col("url")), F.lit("/")).alias("path"))
     asked = actions.withColumns({"host": host(F.col("source_url")), "root": F.concat(F.regexp_replace(path(F.col("source_url")), "/$", ""), F.lit("/")), "shared": shared_platform(F.col("source_url"))})
-    # Actions are a handful of rows; events are counted by them before anything is shuffled.
-    near = recent.join(F.broadcast(asked.select("pos", "host", "root", "shared")), "host").where(~F.col("shared") | F.col("path").startswith(F.col("root")))
+    near = recent.join(asked.select("pos", "host", "root", "shared"), "host").where(~F.col("shared") | F.col("path").startswith(F.col("root")))
     counts = near.groupBy("pos").agg(F.count(F.lit(1)).alias("recent"))
     met = asked.join(sources.select(F.col("url").alias("source_url"), F.col("tier").alias("own_tier")), "source_url", "left").join(counts, "pos", "left")
     recent_n = F.coalesce("recent", F.lit(0))

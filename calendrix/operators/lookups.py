@@ -46,22 +46,30 @@ def siblings(triggers: DataFrame, sources: DataFrame, planned: DataFrame, each:
 
 
 def feedback_sources(submitted: DataFrame, sources: DataFrame) -> DataFrame:
-    """(submitted id, source url): same host, and on a shared platform also a path that begins alike."""
+    """(submitted id, source url): a source on the submitted host or on a host below it; on a shared platform of
+    the same host, with a path that the submitted one begins with."""
     left = submitted.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), shared_platform(F.col("url")).alias("shared"))
-    right = sources.select(F.col("url").alias("source_url"), host(F.col("url")).alias("host"), path(F.col("url")).alias("source_path"))
-    return left.join(right, "host").where(~F.col("shared") | F.col("path").startswith(F.col("source_path"))).select("id", "source_url")
+    own = host(F.col("url"))
+    labels = F.split(own, r"\.")
+    # A source is found by its host and by every domain that its host is below.
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    right = sources.where(own.isNotNull()).select(F.col("url").alias("source_url"), own.alias("own"), path(F.col("url")).alias("source_path"), F.explode(above).alias("host"))
+    root = F.regexp_replace("source_path", "/$", "")
+    fits = ~F.col("shared") | (F.col("own") == F.col("host")) & F.col("path").startswith(root)
+    return left.join(right, "host").where(fits).select("id", "source_url").distinct()
 
 
 def action_status(actions: DataFrame, queries: DataFrame) -> DataFrame:
-    """actions(action, text, result) on queries(query_text, is_active): what became of each query."""
-    asked = actions.where(F.col("action").isin("create_query", "boost_query")).where(~F.col("result").startswith("Skipped"))
-    known = queries.select(F.col("query_text").alias("text"), "is_active")
+    """actions(action, text, result) that create queries, with what became of the text in queries(query_text,
+    is_active, ...): active, failed_to_create, or deactivated_or_recycled; skipped ones count while they are active."""
+    asked = actions.where(F.col("action").isin("create_query", "create_source_query"))
+    known = first_of(queries.where("is_active").withColumnRenamed("query_text", "text"), ["text"], ["text"])
     state = (
         F.when(F.col("is_active"), "active")
         .when(F.col("result").startswith("Failed"), "failed_to_create")
-        .otherwise("deactivated_or_recycled")
+        .when(~F.col("result").startswith("Skipped"), "deactivated_or_recycled")
     )
-    return asked.join(known, "text", "left").withColumn("status", state)
+    return asked.join(known, "text", "left").withColumn("status", state).where("status IS NOT NULL")
 
 
 def detail_over_listing(listing: DataFrame, detail: DataFrame, key: str, fields: list[str]) -> DataFrame:

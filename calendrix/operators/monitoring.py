@@ -214,7 +214,7 @@ def known_urls(sources: DataFrame, config: DataFrame) -> DataFrame:
     return own(sources).union(own(config)).union(base).distinct()
 
 
-#: Shortest text that is searched by a shared piece; shorter ones are few and searched row by row.
+#: Length of the pieces that submissions and events meet on; shorter submissions are pieces as they are.
 PIECE = 8
 
 
@@ -222,8 +222,8 @@ def found_events(asked: DataFrame, events: DataFrame, title_chars: int = 30) ->
     """asked(id, url, title) with found_id: the least id of events(id, url, title) whose URL holds the
     asked one (normalised) or whose title holds the first characters of the asked title, in any case.
 
-    A text of PIECE characters or more begins with a piece that the event's text must have: both meet
-    on it, so that events are not held against every submission.
+    A text of PIECE characters or more begins with a piece that the event's text must have, and a shorter
+    one is such a piece as a whole: both meet on it, so that events are not held against every submission.
     """
     needles = asked.select(F.col("id").alias("asked_id"), F.explode(F.array(F.struct(F.lit("url").alias("kind"), normal_url(F.col("url")).alias("text")), F.struct(F.lit("title").alias("kind"), F.lower(F.substring("title", 1, title_chars)).alias("text")))).alias("x"))
     needles = needles.select("asked_id", "x.kind", "x.text").where("text <> ''").withColumn("piece", F.substring("text", 1, PIECE))
@@ -231,7 +231,9 @@ def found_events(asked: DataFrame, events: DataFrame, title_chars: int = 30) ->
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - (PIECE - 1), F.lit(1))), lambda i: F.substring("body", i, F.lit(PIECE))))
     long = needles.where(F.length("text") >= PIECE)
     met = texts.where("body <> ''").withColumn("piece", F.explode(pieces)).join(long, ["kind", "piece"])
-    short = texts.join(F.broadcast(needles.where(F.length("text") < PIECE).drop("piece")), "kind")
+    sizes = F.sequence(F.lit(1), F.least(F.length("body"), F.lit(PIECE - 1)))
+    cuts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substring(F.col("body"), i, n))))
+    short = texts.where("body <> ''").withColumn("piece", F.explode(F.array_distinct(cuts))).join(needles.where(F.length("text") < PIECE), ["kind", "piece"])
     hits = met.select("asked_id", "event_id", "body", "text").union(short.select("asked_id", "event_id", "body", "text")).where(F.contains("body", F.col("text")))
     best = hits.groupBy(F.col("asked_id").alias("id")).agg(F.min("event_id").alias("found_id"))
     return asked.join(best, "id", "left")

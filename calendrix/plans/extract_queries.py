@@ -216,15 +216,15 @@ def jsonld_export(spark, sf_dir):
 
 
 @query("""SELECT 'daily' AS run_type, CAST(90 AS BIGINT) AS run_duration_seconds, count(*) FILTER (WHERE event_type = 'view') AS queries_run, count(*) FILTER (WHERE event_type = 'purchase') AS events_added, count(*) FILTER (WHERE event_type = 'error') AS errors,
-CAST(sum(user_id % 5) AS BIGINT) AS events_discovered, count(DISTINCT CASE WHEN event_type = 'error' THEN 'e' || (event_id % 4) END) AS messages, count(DISTINCT user_id) AS sources, count(*) FILTER (WHERE event_type = 'click') AS duplicates FROM events""")
+CAST(sum(user_id % 5) AS BIGINT) AS events_discovered, count(*) FILTER (WHERE event_type = 'error') AS messages, array_to_string(list('e' || (event_id % 4) ORDER BY event_id) FILTER (WHERE event_type = 'error'), ',') AS in_order, count(*) FILTER (WHERE event_type = 'click' AND user_id % 2 = 0) AS feedback_analyzed, count(DISTINCT user_id) AS sources, count(*) FILTER (WHERE event_type = 'click') AS duplicates FROM events""")
 def run_log(spark, sf_dir):
     kind, n = F.col("event_type"), F.col("event_id")
     zero = F.lit(0).cast("bigint")
     one = lambda k: (kind == k).cast("bigint")
-    known = {"queries_run": one("view"), "events_added": one("purchase"), "errors": one("error"), "events_discovered": F.col("user_id") % 5}
+    known = {"queries_run": one("view"), "events_added": one("purchase"), "errors": one("error"), "events_discovered": F.col("user_id") % 5, "feedback_analyzed": ((kind == "click") & (F.col("user_id") % 2 == 0)).cast("bigint")}
     steps = table(spark, sf_dir, "events").select(
-        *[known.get(c, zero).alias(c) for c in tables.RUN_COUNTERS], F.when(kind == "error", F.concat(F.lit("e"), (n % 4).cast("string"))).alias("error"), F.col("user_id").alias("source"),
+        n.alias("pos"), *[known.get(c, zero).alias(c) for c in tables.RUN_COUNTERS], F.when(kind == "error", F.concat(F.lit("e"), (n % 4).cast("string"))).alias("error"), F.col("user_id").alias("source"),
         F.when(kind == "click", "duplicate").when(kind == "purchase", "accepted").alias("outcome"), (F.col("user_id") % 5).alias("events"),
     )
     row = tables.run_log(steps, "daily", F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:01:29.6").cast("timestamp"))
-    return row.select("run_type", "run_duration_seconds", "queries_run", "events_added", "errors", "events_discovered", F.size("error_messages").cast("bigint").alias("messages"), F.size("source_results").cast("bigint").alias("sources"), F.col("decision_summary")["duplicate"].alias("duplicates"))
+    return row.select("run_type", "run_duration_seconds", "queries_run", "events_added", "errors", "events_discovered", F.size("error_messages").cast("bigint").alias("messages"), F.array_join("error_messages", ",").alias("in_order"), "feedback_analyzed", F.size("source_results").cast("bigint").alias("sources"), F.col("decision_summary")["duplicate"].alias("duplicates"))

@@ -250,16 +250,23 @@ def grade_streak(spark, sf_dir):
 
 
 @query("""SELECT CAST(floor(date_diff('microsecond', max(ts), TIMESTAMP '2024-01-31') / 3600000000.0) AS BIGINT) AS hours, count(*) FILTER (WHERE event_type = 'error') AS fixable,
-date_diff('microsecond', max(ts), TIMESTAMP '2024-01-31') / 3600000000.0 > 48 AND count(*) FILTER (WHERE event_type = 'error') >= 1 AS alarm FROM events""")
+date_diff('microsecond', max(ts), TIMESTAMP '2024-01-31') / 3600000000.0 > 48 AND count(*) FILTER (WHERE event_type = 'error') >= 1 AS alarm
+FROM (SELECT ts, event_type, unnest(['now', 'early', 'quiet']) AS part FROM events) WHERE part = 'now' OR ts < TIMESTAMP '2024-01-20' AND (part = 'early' OR event_type <> 'error') GROUP BY part""")
 def repair_heartbeat(spark, sf_dir):
-    return m.heartbeat(table(spark, sf_dir, "events"), "ts", events_now(), F.col("event_type") == "error")
+    """Of all runs, of the early ones, and of those early ones that need no repair."""
+    runs = table(spark, sf_dir, "events")
+    early = runs.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp"))
+    beats = [m.heartbeat(part, "ts", events_now(), F.col("event_type") == "error") for part in (runs, early, early.where("event_type != 'error'"))]
+    return beats[0].union(beats[1]).union(beats[2])
 
 
-@query("""WITH f AS (SELECT source AS slug, lang, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS rn FROM f)
+@query("""WITH f AS (SELECT CASE WHEN doc_id % 50 = 7 THEN 'only-' || doc_id ELSE source END AS slug, lang, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS rn FROM f)
 SELECT slug, count(*) AS events, min(lang) FILTER (WHERE rn = 1) AS name, CAST(min(doc_id) FILTER (WHERE rn = 3) AS BIGINT) AS third,
 CASE WHEN count(*) >= 2 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence, round(CASE WHEN count(*) >= 2 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * count(*), 4) AS value FROM r GROUP BY 1""")
 def organizer_rollup(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(F.col("source").alias("slug"), F.col("lang").alias("name"), F.col("doc_id").alias("title"), F.col("doc_id").alias("position"))
+    alone = F.concat(F.lit("only-"), F.col("doc_id").cast("string"))
+    slug = F.when(F.col("doc_id") % 50 == 7, alone).otherwise(F.col("source"))
+    found = table(spark, sf_dir, "documents").select(slug.alias("slug"), F.col("lang").alias("name"), F.col("doc_id").alias("title"), F.col("doc_id").alias("position"))
     ranked = m.scout_findings(m.organizer_rollup(found))
     return ranked.select("slug", "events", "name", F.get("titles", F.lit(2)).alias("third"), "confidence", "value")
 

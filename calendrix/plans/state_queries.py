@@ -216,13 +216,13 @@ def top50_cutoff(spark, sf_dir):
     return sel.beyond_cut(ranked, [F.desc("o_totalprice"), F.desc("o_custkey"), "id"], 50).select("id")
 
 
-@query("""WITH q AS (SELECT o_orderkey AS id, o_totalprice AS priority, o_custkey % 3 AS times_run, o_orderdate AS created_at FROM orders),
+@query("""WITH q AS (SELECT o_orderkey AS id, o_totalprice AS priority, o_custkey % 3 AS times_run, o_orderdate AS created_at, o_orderkey % 5 <> 0 AS agent FROM orders WHERE o_orderkey % 7 <> 0),
 high AS (SELECT id, 1 AS branch FROM q ORDER BY priority DESC, id LIMIT 3), low AS (SELECT id, row_number() OVER (ORDER BY priority, id) AS pos FROM q ORDER BY pos LIMIT 2),
-free AS (SELECT id, 2 AS branch FROM low WHERE id NOT IN (SELECT id FROM high) ORDER BY pos LIMIT 1), fresh AS (SELECT id FROM q WHERE times_run = 0 ORDER BY created_at DESC, id LIMIT 1)
+free AS (SELECT id, 2 AS branch FROM low WHERE id NOT IN (SELECT id FROM high) ORDER BY pos LIMIT 1), fresh AS (SELECT id FROM q WHERE times_run = 0 AND agent ORDER BY created_at DESC, id LIMIT 1)
 SELECT id, branch FROM high UNION ALL SELECT id, branch FROM free UNION ALL SELECT id, 3 FROM fresh WHERE id NOT IN (SELECT id FROM high UNION ALL SELECT id FROM free)""")
 def explore_exploit(spark, sf_dir):
     queries = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("priority"), F.lit("agent").alias("created_by"), (F.col("o_custkey") % 3).alias("times_run"), F.col("o_orderdate").alias("created_at"), F.lit(True).alias("is_active")
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("priority"), F.when(F.col("o_orderkey") % 5 != 0, "agent").otherwise("user").alias("created_by"), (F.col("o_custkey") % 3).alias("times_run"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderkey") % 7 != 0).alias("is_active")
     )
     return sel.explore_exploit(queries, limit=5).select("id", "branch")
 
@@ -242,10 +242,11 @@ def query_deactivation(spark, sf_dir):
 
 
 @query("""SELECT source, passed, failed, CASE WHEN passed + failed >= 5 AND passed < (passed + failed) * 0.5 THEN 'demoted' ELSE 'probation' END AS tier FROM (
-SELECT source, count(*) FILTER (WHERE toxic = 1) AS passed, count(*) FILTER (WHERE toxic = 0) AS failed FROM labels JOIN documents USING (doc_id) GROUP BY 1)""")
+SELECT source, count(*) FILTER (WHERE good) AS passed, count(*) FILTER (WHERE NOT good) AS failed FROM (SELECT source, CASE WHEN length(source) = 4 THEN quality = 1 ELSE toxic = 1 END AS good FROM labels JOIN documents USING (doc_id)) GROUP BY 1)""")
 def validation_demotion(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    tally = table(spark, sf_dir, "labels").join(docs, "doc_id").select("source", (F.col("toxic") == 1).cast("bigint").alias("passed"), (F.col("toxic") == 0).cast("bigint").alias("failed"))
+    tally = table(spark, sf_dir, "labels").join(docs, "doc_id").select("source", F.when(F.length("source") == 4, F.col("quality") == 1).otherwise(F.col("toxic") == 1).alias("good"))
+    tally = tally.select("source", F.col("good").cast("bigint").alias("passed"), (~F.col("good")).cast("bigint").alias("failed"))
     zero = F.lit(0).cast("bigint")
     sources = tally.select("source").distinct().select("source", F.lit("probation").alias("tier"), zero.alias("passed"), zero.alias("failed"))
     return tr.validated(sources, tally)
@@ -274,10 +275,10 @@ def rate_limit(spark, sf_dir):
     return tr.rate_limited(requests, "user_id")
 
 
-@query("""SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 2 END AS INTEGER) AS severity FROM orders ORDER BY severity, o_orderdate DESC, o_orderkey LIMIT 100""")
+@query("""SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 3 ELSE 2 END AS INTEGER) AS severity FROM orders WHERE o_orderkey % 400 = 1 ORDER BY severity, o_orderdate DESC, o_orderkey LIMIT 100""")
 def severity_sort(spark, sf_dir):
     rank = sel.severity_rank(F.col("o_orderpriority"), {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "5-LOW": 3}, 2)
-    return table(spark, sf_dir, "orders").withColumn("severity", rank).orderBy("severity", F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "severity")
+    return table(spark, sf_dir, "orders").where("o_orderkey % 400 = 1").withColumn("severity", rank).orderBy("severity", F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "severity")
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")

@@ -90,16 +90,25 @@ def json_ld(items: DataFrame, name: str, description: str) -> DataFrame:
 
 RUN_COUNTERS = (
     "queries_run", "new_sources_found", "new_queries_generated", "sources_scraped", "events_discovered", "events_validated", "events_added", "events_updated",
-    "duplicates_skipped", "errors", "claude_api_calls", "serpapi_calls",
+    "duplicates_skipped", "errors", "claude_api_calls", "serpapi_calls", "feedback_analyzed", "feedback_sources_added", "feedback_queries_added",
 )
 
 
+def error_rows(steps: DataFrame) -> DataFrame:
+    """(pos, error) of the steps that failed, repeats included."""
+    return steps.where("error IS NOT NULL").select("pos", "error")
+
+
 def run_log(steps: DataFrame, kind: str, started: Column, ended: Column) -> DataFrame:
-    """One row for a run: its kind, times and whole seconds, twelve counters summed over steps(counters,
-    error, source, outcome, events), error messages in order, results by source and decisions by outcome."""
+    """One row for a run: its kind, times and whole seconds, fifteen counters summed over steps(pos, counters,
+    error, source, outcome, events), every error's message in order of pos, results by source and decisions by outcome.
+
+    A run's messages are one value of its record; error_rows() has them as rows.
+    """
     seconds = F.floor((F.unix_millis(ended) - F.unix_millis(started)) / 1000 + 0.5).cast("bigint")
     counters = steps.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in RUN_COUNTERS])
-    messages = steps.where("error IS NOT NULL").groupBy("error").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list("error")).alias("error_messages"))
+    listed = F.sort_array(F.collect_list(F.struct("pos", "error")))
+    messages = error_rows(steps).agg(F.transform(listed, lambda e: e["error"]).alias("error_messages"))
     results = steps.where("source IS NOT NULL").groupBy("source").agg(F.sum("events").alias("events")).agg(F.array_sort(F.collect_list(F.struct("source", "events"))).alias("source_results"))
     summary = steps.where("outcome IS NOT NULL").groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("decision_summary"))
     row = counters.crossJoin(messages).crossJoin(results).crossJoin(summary)  # one row each

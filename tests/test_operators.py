@@ -207,9 +207,9 @@ def test_lookups(spark):
     plan = spark.createDataFrame([("a",)], "url string")
     got = {r.url: r.reason for r in lookups.floor_rule(due, plan, F.lit(T0 + dt.timedelta(days=3))).collect()}
     assert got == {"a": "planned", "b": "last scraped 3 days ago", "c": "last scraped 3 days ago"}
-    actions = spark.createDataFrame([("create_query", "x", "ok"), ("create_query", "y", "Failed: z"), ("boost_query", "w", "ok"), ("create_query", "v", "Skipped: s"), ("flag", "x", "ok")], "action string, text string, result string")
-    known = spark.createDataFrame([("x", True), ("w", False)], "query_text string, is_active boolean")
-    assert {r.text: r.status for r in lookups.action_status(actions, known).collect()} == {"x": "active", "y": "failed_to_create", "w": "deactivated_or_recycled"}
+    actions = spark.createDataFrame([("create_query", "x", "ok"), ("create_query", "y", "Failed: z"), ("create_source_query", "w", "ok"), ("boost_query", "w", "ok"), ("create_query", "u", "Skipped: there"), ("create_query", "v", "Skipped: s"), ("flag", "x", "ok")], "action string, text string, result string")
+    known = spark.createDataFrame([("x", True), ("w", False), ("u", True)], "query_text string, is_active boolean")
+    assert {r.text: r.status for r in lookups.action_status(actions, known).collect()} == {"x": "active", "y": "failed_to_create", "w": "deactivated_or_recycled", "u": "active"}
     sources = spark.createDataFrame([("https://lu.ma/aitx",), ("https://a.org/x",)], "url string")
     sent = spark.createDataFrame([(1, "https://lu.ma/aitx/7"), (2, "https://lu.ma/other"), (3, "https://www.a.org/z")], "id long, url string")
     assert {(r.id, r.source_url) for r in lookups.feedback_sources(sent, sources).collect()} == {(1, "https://lu.ma/aitx"), (3, "https://a.org/x")}
