@@ -77,28 +77,45 @@ def url_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", u.slug(F.col("url")).alias("slug"), u.last_segment(F.col("url")).alias("last"))
 
 
+#: Every other page takes one of these, so that each rule sees URLs of both kinds.
+MORE_URLS = [
+    "https://www.meetup.com/group/events/123456/", "https://lu.ma/abc", "https://www.eventbrite.com/e/talk-1", "https://www.meetup.com/find/?q=ai", "https://linkedin.com/in/x", "https://site.example/events/talk", "https://sub.luma.com/x",
+    "https://allevents.in/events/x", "https://site.example/list?page=2", "https://site.example/search?keywords=ai", "no url", "https://luma.com/x",
+]
+URLS_SQL = f"(SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_quoted(MORE_URLS)}[CAST(page_id // 2 % {len(MORE_URLS)} AS INTEGER) + 1] ELSE url END AS url FROM pages)"
+
+
+def mixed_urls(spark, sf_dir):
+    listed = F.get(F.array(*map(F.lit, MORE_URLS)), (F.floor(F.col("page_id") / 2) % len(MORE_URLS)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, listed).otherwise(F.col("url")).alias("url"))
+
+
 @query(f"""SELECT page_id, {_any('url', u.SINGLE_EVENT)} AS single_event, {_any('url', u.BROAD_SEARCH)} AS broad_search,
 len(list_filter({_quoted(u.SKIPPED_HOSTS)}, lambda h: contains(lower(url), h))) > 0 AS skipped,
 NOT contains(url, 'allevents.in') AND (contains(url, 'meetup.com/') OR contains(url, 'eventbrite.com/e/') OR contains(url, 'lu.ma/') OR regexp_matches(url, '/events?/[^/?]')) AS event_page,
 contains(lower(url), 'eventdisplay=past') OR contains(lower(url), 'tribe-bar-date=') OR {_any('url', u.PAGED_OR_PAST)} AS paged,
-coalesce(len(list_filter({_quoted(u.PLATFORMS)}, lambda d: {HOST_SQL} = d OR ends_with({HOST_SQL}, '.' || d))) > 0, false) AS platform FROM pages""")
+coalesce(len(list_filter({_quoted(u.PLATFORMS)}, lambda d: {HOST_SQL} = d OR ends_with({HOST_SQL}, '.' || d))) > 0, false) AS platform FROM {URLS_SQL}""")
 def url_class(spark, sf_dir):
     url = F.col("url")
     classes = {"single_event": u.single_event(url), "broad_search": u.broad_search(url), "skipped": u.skipped_host(url), "event_page": u.event_page(url), "paged": u.paged_or_past(url), "platform": u.shared_platform(url)}
-    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in classes.items()])
+    return mixed_urls(spark, sf_dir).select("page_id", *[c.alias(n) for n, c in classes.items()])
 
 
-@query(f"""SELECT page_id, CASE {HOST_SQL} WHEN 'lu.ma' THEN 'luma' WHEN 'luma.com' THEN 'luma' WHEN 'meetup.com' THEN 'meetup' END AS parser, {HOST_SQL} IS NOT NULL AS takes FROM pages""")
+@query(f"""SELECT page_id, CASE {HOST_SQL} WHEN 'lu.ma' THEN 'luma' WHEN 'luma.com' THEN 'luma' WHEN 'meetup.com' THEN 'meetup' END AS parser, {HOST_SQL} IS NOT NULL AS takes FROM {URLS_SQL}""")
 def url_routing(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", u.parser_for(F.col("url")).alias("parser"), u.submission(F.col("url"), F.lit(None).cast("string")).alias("takes"))
+    return mixed_urls(spark, sf_dir).select("page_id", u.parser_for(F.col("url")).alias("parser"), u.submission(F.col("url"), F.lit(None).cast("string")).alias("takes"))
+
+
+MORE_TITLES = ["TBD", "AI night", "", "<div class=x>", ".card { color: red }", "!!!! ---- ????", "Untitled", "function() { return 1 }", "A talk on agents", "{{title}}"]
 
 
 @query(f"""SELECT doc_id, length(trim(text)) < 5 OR list_contains({_quoted(t.PLACEHOLDER_TITLES)}, lower(trim(text))) AS placeholder,
 text = '' OR {_any('text', t.MALFORMED_TITLE_PATTERNS)} OR length(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) < length(text) * 0.3 AS malformed,
-length(text) < 3 OR {_any('text', t.GARBAGE_PATTERNS)} OR length(regexp_replace(text, '[^a-zA-Z0-9\\s]', '', 'g')) < length(text) * 0.4 AS garbage FROM documents""".replace("\\\\s", "\\s"))
+length(text) < 3 OR {_any('text', t.GARBAGE_PATTERNS)} OR length(regexp_replace(text, '[^a-zA-Z0-9\\s]', '', 'g')) < length(text) * 0.4 AS garbage FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_quoted(MORE_TITLES)}[CAST(doc_id // 3 % {len(MORE_TITLES)} AS INTEGER) + 1] ELSE text END AS text FROM documents)""".replace("\\\\s", "\\s"))
 def title_quality(spark, sf_dir):
+    listed = F.get(F.array(*map(F.lit, MORE_TITLES)), (F.floor(F.col("doc_id") / 3) % len(MORE_TITLES)).cast("int"))
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.placeholder_title(text).alias("placeholder"), t.malformed_title(text).alias("malformed"), t.garbage_text(text).alias("garbage"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, listed).otherwise(text)).select("doc_id", t.placeholder_title(text).alias("placeholder"), t.malformed_title(text).alias("malformed"), t.garbage_text(text).alias("garbage"))
 
 
 LOCAL, OUTSIDE = ["tion ", "edre", "schen"], ["queas", "pourle", "zuer", "oreor"]
@@ -119,11 +136,15 @@ def text_snippet(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.text_snippet(F.col("html")).cast("binary")).alias("snippet"))
 
 
+MORE_HTML = ["", "<script type='application/ld+json'>", "<script id=__NEXT_DATA__>", "<p>Join us</p>", "<p>March 5</p>", "<p>3/5/2026</p>"]
+
+
 @query(r"""SELECT page_id, contains(lower(html), 'application/ld+json') AS has_json_ld, contains(lower(html), '__next_data__') AS has_next_data,
 regexp_matches(lower(html), '\b(register|rsvp|attend|event|meetup|join us|upcoming)\b') AS has_event_keywords,
-regexp_matches(lower(html), '\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2}') OR regexp_matches(lower(html), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}') AS has_date_patterns FROM pages""")
+regexp_matches(lower(html), '\b(january|february|march|april|may|june|july|august|september|october|november|december)\s+[0-9]{1,2}') OR regexp_matches(lower(html), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}') AS has_date_patterns FROM (SELECT page_id, coalesce(html, '') || """ + f"{_quoted(MORE_HTML)}[CAST(page_id % {len(MORE_HTML)} AS INTEGER) + 1] AS html FROM pages)")
 def content_signals(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", t.content_signals(F.col("html")).alias("s")).select("page_id", "s.*")
+    listed = F.get(F.array(*map(F.lit, MORE_HTML)), (F.col("page_id") % len(MORE_HTML)).cast("int"))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), listed)).select("page_id", t.content_signals(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
 def _entities_sql() -> str:
