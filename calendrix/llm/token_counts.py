@@ -97,7 +97,8 @@ class TokenCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.table.special, key=len, reverse=True)))) if self.table.special else None
 
     def _segments(self, text: str):
-        """Pieces of a long text; no pre-token crosses from other characters to white space."""
+        """Pieces of a long text; no pre-token crosses from other characters to white space. A text without white
+        space is one piece, as its pre-tokens can't be told before it is read: its memory grows with it."""
         while len(text) > SEGMENT and (cut := self.boundary.search(text, SEGMENT)):
             yield text[: cut.start()]
             text = text[cut.start() :]

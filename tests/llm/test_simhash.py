@@ -85,3 +85,12 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 8, 9]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.keep_one_per_group(empty).isEmpty()
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (0, 1, 3, 4, 5, 64, 65, 3000)]
+    whole = [simhash.simhash(t) for t in texts]
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert [simhash.simhash(t) for t in texts] == whole
