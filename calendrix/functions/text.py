@@ -67,6 +67,7 @@ ENTITIES = {
 AUDIENCES = ["developers", "business", "researchers", "general", "students"]
 LEVELS = ["beginner", "intermediate", "advanced", "all-levels"]
 AI_CRAWLERS = ["GPTBot", "ChatGPT", "ClaudeBot", "Claude-Web", "Anthropic", "Google-Extended", "CCBot", "PerplexityBot", "Bytespider", "Amazonbot", "cohere-ai", "Manus-User"]
+# Names that hold bot, crawl or spider are found by these words, and so stand here by them alone.
 OTHER_BOTS = [
     "HeadlessChrome", "vercel-screenshot", "Dataprovider", "Konqueror", r"Nokia\d", "bot", "crawl", "spider", "Slurp",
     "facebookexternalhit", "WhatsApp", "Screaming Frog",

@@ -7,12 +7,10 @@ first few by arrival count, bands.first_in_band() finds them without the pairs.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calendrix.functions.semantics import hours_between, or_else
@@ -20,6 +18,7 @@ from calendrix.functions.text import normal_title, normal_venue, venue_fingerpri
 from calendrix.functions.urls import event_id_key, event_url_key
 from calendrix.operators.bands import first_in_band
 from calendrix.operators.fuzzy import close_strings, containing
+from calendrix.operators.kept import checkpointed
 from calendrix.operators.selection import first_of, top_of_each
 
 
@@ -270,36 +269,6 @@ def _settled(events: DataFrame, links: DataFrame) -> DataFrame:
     return members.union(members.select("head", "head").distinct())
 
 
-def checkpointed(spark: SparkSession) -> None:
-    """Sets the checkpoint folder to the one spark.checkpoint.dir names; a temporary one serves a
-    local session only, as the machines of a cluster would not share it. What is written there goes when the
-    program ends."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        _programs[context.getCheckpointDir()] = spark
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="calendrix-"))
-    _programs[context.getCheckpointDir()] = spark
-
-
-#: This program's folders below the checkpoint folder, which Spark makes for each program.
-_programs: dict[str, SparkSession] = {}
-
-
-@atexit.register
-def _discard() -> None:
-    while _programs:
-        path, spark = _programs.popitem()
-        try:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception:  # the JVM has gone first; the folder is left to the cluster
-            continue
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) by rounds of least neighbours, each with its lineage cut by a checkpoint."""
     checkpointed(edges.sparkSession)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calendrix.operators.dedup import checkpointed
+from calendrix.operators.kept import checkpointed
 
 
 def _composed(moves: dict[str, tuple[int, ...]], states: int):

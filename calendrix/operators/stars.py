@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from calendrix.functions.semantics import or_else
 from calendrix.functions.text import venue_fingerprints
-from calendrix.operators.dedup import GRAM, checkpointed, overlapping_venues, with_places
+from calendrix.operators.dedup import GRAM, overlapping_venues, with_places
 from calendrix.operators.fuzzy import close_strings
+from calendrix.operators.kept import checkpointed
 from calendrix.operators.selection import top_of_each
 
 SLAB, EAGER = 200_000, 8

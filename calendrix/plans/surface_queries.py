@@ -88,7 +88,7 @@ def upsert_changes(spark, sf_dir):
     """What an upsert in place makes of each row that comes in."""
     import uuid
 
-    from calendrix.operators.dedup import checkpointed
+    from calendrix.operators.kept import checkpointed
 
     checkpointed(spark)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calendrix.operators.dedup import checkpointed
+from calendrix.operators.kept import checkpointed
 from calendrix.operators.selection import first_of
 
 BUCKETS = 64
