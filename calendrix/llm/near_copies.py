@@ -37,6 +37,8 @@ from calendrix.llm.simhash import simhash
 
 WORDS, SIMILAR, BANDS, ROWS, BUCKET, SEED = 5, 0.8, 24, 5, 512, 42
 FINE_BANDS, FINE_ROWS = 100, 10
+#: Rows of two numbers up to which a list is sent to where the texts are; more meet them by a shuffle.
+SENT_ROWS = 1_000_000
 #: Shingles that a part of a bucket has on average, at most.
 PART = 1 << 22
 #: Shingles of one text whose minima are taken at a time.
@@ -275,6 +277,11 @@ class Links:
         self.compare(met)
 
 
+def _beside_texts(rows: DataFrame) -> DataFrame:
+    """rows, of few numbers each and kept already, for a join with whole texts: sent to them if they are no more than SENT_ROWS."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, digest, root) of each row of docs(doc_id, text): rows of one root are joined by links.
 
@@ -299,7 +306,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR, buc
     met = shared.select("node").union(hashed.select("a")).union(hashed.select("b")).distinct()
     wanted = met.join(nodes, "node").select("node", F.col("e.doc_id").alias("own_id"), F.col("e.digest").alias("own_digest"))
     texts = docs.select("doc_id", whole_text(docs).alias("text")).withColumn("digest", F.xxhash64("text"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
+    texts = texts.join(_beside_texts(durable(wanted)), texts["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")))
     sets = written(shingled(texts.select("node", "text").dropDuplicates(["node"]), words))
     found = Links(sets, similarity, bucket)
     found.verify(hashed)
@@ -327,7 +334,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     met = durable(met.where("out or count > 1"))
     marked = docs.withColumn(h, F.xxhash64(whole_text(docs)))
     same = marked["doc_id"].eqNullSafe(F.col(own_id)) & (F.col(h) == F.col(own_digest))
-    kept = marked.join(met.where("out"), same, "left_anti")
+    kept = marked.join(_beside_texts(durable(met.where("out"))), same, "left_anti")
     again = met.where("not out").select(own_id, own_digest)
     if again.isEmpty():
         return kept.drop(h)

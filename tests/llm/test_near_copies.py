@@ -48,7 +48,9 @@ def sample(edits=(1, 2, 3, 5)):
     return [*rows, (9001, None), (9002, " \n"), (9003, "one TWO"), (9004, "One two")]
 
 
-def test_stage_finds_copies_from_0_8_on(spark):
+@pytest.mark.parametrize("sent", [near_copies.SENT_ROWS, 0])
+def test_stage_finds_copies_from_0_8_on(spark, monkeypatch, sent):
+    monkeypatch.setattr(near_copies, "SENT_ROWS", sent)
     rows = sample()
     want, loose = plain_kept(rows)
     assert loose > 60 and len(want) < len(rows)
