@@ -184,17 +184,21 @@ _TURNS = "array<struct<turn:bigint,role:string,hash:binary>>"
 
 
 def _blocks_of(size: int):
-    """For sorted light turns: a row for each block."""
+    """For sorted light turns: a row for each block; without ways through it where it is all of a
+    conversation, as every one is that begins and ends in the same task's rows and is not longer than a block."""
 
     def run(batches):
         part, kind, at = TaskContext.get().partitionId(), None, 0
         conv, before, codes, rows, counts, illegal = object(), None, [], [], [0, 0, 0], 0
+        whole = False
 
-        def block():
-            nonlocal at, codes, rows, counts, illegal
+        def block(ends=True):
+            nonlocal at, codes, rows, counts, illegal, whole
             at += 1
             text = "".join(codes)
-            paths = [dict(zip(("start", "end", "cost", "audit"), p)) for p in block_paths(text)]
+            ways = () if whole and ends else block_paths(text)
+            whole = False
+            paths = [dict(zip(("start", "end", "cost", "audit"), p)) for p in ways]
             turns = [{"turn": t, "role": r, "hash": h} for t, r, h in rows]
             out = (conv, part, at, text, *counts, illegal, rows[0][1][:1], rows[-1][1][:1], paths, turns)
             codes, rows, counts, illegal = [], [], [0, 0, 0], 0
@@ -211,9 +215,10 @@ def _blocks_of(size: int):
             for conv_id, turn, role, digest, blank, cut, later in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role", "hash", "blank", "cut", "later"))):
                 if conv_id != conv or len(codes) == size:
                     if codes:
-                        out.append(block())
+                        out.append(block(ends=conv_id != conv))
                     if conv_id != conv:
-                        conv, before = conv_id, None
+                        # The first one here may have begun in the task before.
+                        whole, conv, before = at > 0, conv_id, None
                 again = later or (turn, role, digest) == before
                 initial = role[:1] if role[:1] in ("s", "u", "a") else "o"
                 counts[0] += blank
@@ -227,7 +232,7 @@ def _blocks_of(size: int):
             if out:
                 yield made(out)
         if codes:
-            yield made([block()])
+            yield made([block(ends=False)])  # it may go on in the next task
 
     return run
 
