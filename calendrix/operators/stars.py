@@ -12,7 +12,8 @@ from before change: the first slab is right at once, and each slab is when those
 seldom reach far, so few rounds are needed; after EAGER rounds only the first slab that is not yet settled
 is swept, which bounds the work even where one chain runs through all of time.
 
-Events without a start or an id are in no group; of repeated ids each row is swept, and the first of them
+The names near a name are one list, which every event of that name carries: it grows with the different names that are alike,
+not with the events. Events without a start or an id are in no group; of repeated ids each row is swept, and the first of them
 decides. An empty table has no groups.
 """
 

@@ -3,7 +3,8 @@
 Both keep a small state for each key and take a key's rows in order of their time: rows wait in the
 state until the watermark has passed them, when a timer lets them out in order. So a stream decides as the batch
 does, whatever the order of arrival, for all rows that are not later than the watermark; those are dropped by
-Spark. A key's state goes when a timer finds nothing left that could matter.
+Spark. A key's state goes when a timer finds nothing left that could matter. The session's state store must be RocksDB's
+(spark.sql.streaming.stateStore.providerClass), as Spark asks of all such processors.
 """
 
 from __future__ import annotations
