@@ -12,8 +12,8 @@ from before change: the first slab is right at once, and each slab is when those
 seldom reach far, so few rounds are needed; after EAGER rounds only the first slab that is not yet settled
 is swept, which bounds the work even where one chain runs through all of time.
 
-The names near a name are one list, which every event of that name carries: it grows with the different names that are alike,
-not with the events. Events without a start or an id are in no group; of repeated ids each row is swept, and the first of them
+The names near a name are one list, which each slab gets once: it grows with the different names that are alike, not with the
+events. Events without a start or an id are in no group; of repeated ids each row is swept, and the first of them
 decides. An empty table has no groups.
 """
 
@@ -47,9 +47,13 @@ class Likeness:
 
 
 def _swept(reach: list[int]):
-    """Sweeps one slab: events(id, at, names, near) after the heads(id, at, names) that reach into it."""
+    """Sweeps one slab: events(id, at, names) after what it is given: the heads(id, at, names) that reach into it,
+    and (kind, name, near) of its names."""
 
-    def run(key, events: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+    def run(key, events: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        listed = given[given["name"].notna()]
+        near = {(int(kind), name): others for kind, name, others in listed[["kind", "name", "near"]].itertuples(index=False)}
+        heads = given[given["name"].isna()]
         last: list[dict] = [{} for _ in reach]
 
         def keep(at, event, names):
@@ -57,14 +61,13 @@ def _swept(reach: list[int]):
                 if name is not None:
                     own[name] = (at, event)
 
-        heads, events = heads[heads.slab == key[0]], events.sort_values(["at", "id"])
         for event, at, names in heads.sort_values(["at", "id"])[["id", "at", "names"]].itertuples(index=False):
             keep(at, event, names)
-        out, taken_as = [], {}
-        for event, at, names, near in events[["id", "at", "names", "near"]].itertuples(index=False):
+        out = []
+        for event, at, names in events.sort_values(["at", "id"])[["id", "at", "names"]].itertuples(index=False):
             met = None
-            for own, name, others, width in zip(last, names, near, reach):
-                for other in others if others is not None else () if name is None else (name,):
+            for kind, (own, name, width) in enumerate(zip(last, names, reach)):
+                for other in () if name is None else near.get((kind, name), (name,)):
                     found = own.get(other)
                     if found is not None and at - found[0] < width and (met is None or found < met):
                         met = found
@@ -90,14 +93,7 @@ def star_groups(events: DataFrame, kinds: list[Likeness], slab: int = SLAB, eage
     rows = events.where("start IS NOT NULL AND id IS NOT NULL")
     names = F.array(*[k.name.cast("string") for k in kinds])
     rows = rows.select("id", F.unix_micros(F.col("start").cast("timestamp")).alias("at"), names.alias("names"))
-    for n, kind in enumerate(kinds):
-        column = f"near_{n}"
-        if kind.near is None:
-            rows = rows.withColumn(column, F.lit(None).cast("array<string>"))
-        else:
-            listed = kind.near.groupBy(F.col("name").alias("_name")).agg(F.collect_set("other").alias(column))
-            rows = rows.join(listed, F.get("names", F.lit(n)) == F.col("_name"), "left").drop("_name")
-    rows = rows.select("id", "at", "names", F.array(*[f"near_{n}" for n in range(len(kinds))]).alias("near")).checkpoint()
+    rows = rows.checkpoint()
     count = rows.count()
     if not count:
         return rows.select("id", F.col("id").alias("head"))
@@ -105,12 +101,23 @@ def star_groups(events: DataFrame, kinds: list[Likeness], slab: int = SLAB, eage
     slabs = dealt.groupBy("slab").agg(F.min("at").alias("low")).checkpoint()
     order = [r.slab for r in slabs.orderBy("slab").collect()]  # one number for each slab
     reach = [(k.hours + 1) * HOUR for k in kinds]
-    shape = f"slab int, id {dealt.schema['id'].dataType.simpleString()}, head {dealt.schema['id'].dataType.simpleString()}, head_at bigint, at bigint, names array<string>"
+    kind = dealt.schema["id"].dataType.simpleString()
+    used = dealt.select("slab", F.posexplode("names").alias("kind", "name")).where("name IS NOT NULL").distinct()
+    lists = dealt.sparkSession.createDataFrame([], "kind int, name string, near array<string>")
+    for n, one in enumerate(kinds):
+        if one.near is not None:
+            lists = lists.unionByName(one.near.groupBy("name").agg(F.collect_set("other").alias("near")).withColumn("kind", F.lit(n)))
+    none = lambda of: F.lit(None).cast(of)
+    # Without nulls in number columns, which pandas would take as floats.
+    zero = F.lit(0)
+    listed = used.join(lists, ["kind", "name"]).select("slab", zero.cast(kind).alias("id"), zero.cast("bigint").alias("at"), none("array<string>").alias("names"), "kind", "name", "near").checkpoint()
+    shape = f"slab int, id {kind}, head {kind}, head_at bigint, at bigint, names array<string>"
     sweep = _swept(reach)
 
     def swept(numbers: list[int], heads: DataFrame) -> DataFrame:
-        own, before = dealt.where(F.col("slab").isin(numbers)), heads.where(F.col("slab").isin(numbers))
-        return own.groupBy("slab").cogroup(before.groupBy("slab")).applyInPandas(lambda key, a, b: sweep(key, a, b), shape)
+        asked = F.col("slab").isin(numbers)
+        given = heads.select("*", none("int").alias("kind"), none("string").alias("name"), none("array<string>").alias("near")).unionByName(listed)
+        return dealt.where(asked).groupBy("slab").cogroup(given.where(asked).groupBy("slab")).applyInPandas(lambda key, a, b: sweep(key, a, b), shape)
 
     def heads_of(done: DataFrame) -> DataFrame:
         return done.where("names IS NOT NULL").select("slab", "id", "at", "names")

@@ -32,7 +32,7 @@ def reconciled(a, b):
 @pytest.mark.parametrize("slab,eager", [(10**6, 8), (7, 8), (7, 0), (3, 2)])
 def test_groups(spark, slab, eager):
     """Whatever the slabs, and whether they are swept together or one after the other."""
-    rows = entries(5, 90)
+    rows = [(2**60 + r[0], *r[1:]) for r in entries(5, 90)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     got = stars.groups(spark.createDataFrame(rows, SCHEMA), slab=slab, eager=eager).collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
