@@ -131,6 +131,13 @@ def whole_text(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
+def sliced(batches, rows: int = 1024):
+    """The batches in pieces, so that a task holds the texts of a piece at a time as Python's."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     """The texts of a batch of whole rows, whatever the column's case and type; null as empty."""
     column = batch.column([c.lower() for c in batch.schema.names].index(text))

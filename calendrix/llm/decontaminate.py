@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import sent, texts_of, whole_text
+from calendrix.llm.common import sent, sliced, texts_of, whole_text
 
 Q, SHORT_Q, EDITS, MAX_GRAMS = 16, 8, 0.05, 2_000_000
 #: Shared q-grams looked at together.
@@ -304,7 +304,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, max_grams: int = MAX_GR
 
         def run(batches, index=index):
             own = index()
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = np.ones(len(batch), bool)
                 keep[[row for row, *_ in leaks_of(texts_of(batch), own)]] = False
                 yield batch.filter(pa.array(keep))

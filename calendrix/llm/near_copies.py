@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import durable, fresh, whole_text, written
+from calendrix.llm.common import durable, fresh, sliced, whole_text, written
 from calendrix.llm.components import connected_components
 from calendrix.llm.simhash import links as simhash_links
 from calendrix.llm.simhash import simhash
@@ -83,7 +83,7 @@ def banded(docs: DataFrame, words: int = WORDS) -> DataFrame:
     set of that size, print is the SimHash."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch["text"].to_pylist()
             sets = [shingle_set(t, words) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64)
@@ -103,7 +103,7 @@ def shingled(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, shingles) of texts(node, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = _lists([shingle_set(t, words) for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["node"], sets], ["node", "shingles"])
 

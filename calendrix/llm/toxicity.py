@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import durable, texts_of, whole_text
+from calendrix.llm.common import durable, sliced, texts_of, whole_text
 
 ORDERS, PER_CLASS, FEATURES, MIN_DOCS, THRESHOLD, FOLDS, HELD_OUT = (4, 5, 6), 2000, 4096, 3, 0.7, 3, 1
 #: Characters of text looked at together.
@@ -236,7 +236,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     """docs, all its columns, without the rows scored at the threshold or above."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(model.scores(texts_of(batch)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
