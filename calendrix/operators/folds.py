@@ -8,7 +8,6 @@ the other, one row for each part, and every step then knows the state that it me
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -1,7 +1,6 @@
 """Greedy groups by a sweep against the greedy scan over all pairs."""
 
 import datetime as dt
-import random
 
 import pytest
 from test_operators import SCHEMA, distance, entries, hours, overlap
