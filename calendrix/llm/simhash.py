@@ -19,11 +19,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calendrix.llm.common import durable, fresh, whole_text
+from calendrix.llm.common import durable, fresh, sliced, texts_of, whole_text
 from calendrix.llm.components import connected_components
 
 WORDS, RADIUS, SEED, BUCKET = 4, 4, 42, 4096
@@ -60,13 +61,16 @@ def simhash(text: str, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint bigint) of each row; null and empty texts have fingerprint 0."""
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
-        for pdf in batches:
-            values = np.fromiter((simhash(t, words) for t in pdf.text), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fingerprint": values.view(np.int64)})
+        for batch in batches:
+            for part in sliced([batch]):
+                values = np.fromiter((simhash(t, words) for t in texts_of(part)), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text(docs).alias("text")).mapInPandas(run, f"doc_id {kind}, fingerprint bigint")
+    # Arrow, not pandas, which takes a number column with nulls as floats and so rounds large ids.
+    return docs.select("doc_id", whole_text(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
 
 
 def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:

@@ -94,3 +94,11 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     for chunk in (1, 7, 64):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         assert [simhash.simhash(t) for t in texts] == whole
+
+
+def test_large_ids_stay_whole_beside_null_ones(spark):
+    big = 2**53 + 1
+    rows = [(None, "no id at all here"), (big, "one two three four five"), (big + 1, "ONE two three four five"), (2**63 - 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(None, None), (big, big), (big + 1, big), (2**63 - 1, 2**63 - 1)}
