@@ -135,8 +135,14 @@ def skip_results(actions: DataFrame, sources: DataFrame, events: DataFrame, as_o
     recent = events.where((F.col("source") == "web-search") & (F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days))))
     recent = recent.select(host(F.col("url")).alias("host"), F.concat(path(F.col("url")), F.lit("/")).alias("path"))
     asked = actions.withColumns({"host": host(F.col("source_url")), "root": F.concat(F.regexp_replace(path(F.col("source_url")), "/$", ""), F.lit("/")), "shared": shared_platform(F.col("source_url"))})
-    near = recent.join(asked.select("pos", "host", "root", "shared"), "host").where(~F.col("shared") | F.col("path").startswith(F.col("root")))
-    counts = near.groupBy("pos").agg(F.count(F.lit(1)).alias("recent"))
+    # Events are counted by host, and by each of their paths' beginnings that ends in a slash, before they meet the actions.
+    by_host = recent.groupBy("host").agg(F.count(F.lit(1)).alias("on_host"))
+    paths = recent.where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring(F.col("path"), i, F.lit(1)) == "/")
+    roots = paths.withColumn("root", F.explode(F.transform(ends, lambda i: F.substring(F.col("path"), F.lit(1), i))))
+    by_root = roots.groupBy("host", "root").agg(F.sum("n").alias("below"))
+    near = asked.select("pos", "host", "root", "shared").join(by_host, "host").join(by_root, ["host", "root"], "left")
+    counts = near.groupBy("pos").agg(F.sum(F.when(F.col("shared"), F.coalesce("below", F.lit(0))).otherwise(F.col("on_host"))).alias("recent"))
     met = asked.join(sources.select(F.col("url").alias("source_url"), F.col("tier").alias("own_tier")), "source_url", "left").join(counts, "pos", "left")
     recent_n = F.coalesce("recent", F.lit(0))
     blocked = skip_guard(F.coalesce(F.col("own_tier") == "config", F.lit(False)), F.col("shared"), F.coalesce("reason", F.lit("")), recent_n)

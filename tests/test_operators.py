@@ -213,3 +213,36 @@ def test_lookups(spark):
     sources = spark.createDataFrame([("https://lu.ma/aitx",), ("https://a.org/x",)], "url string")
     sent = spark.createDataFrame([(1, "https://lu.ma/aitx/7"), (2, "https://lu.ma/other"), (3, "https://www.a.org/z")], "id long, url string")
     assert {(r.id, r.source_url) for r in lookups.feedback_sources(sent, sources).collect()} == {(1, "https://lu.ma/aitx"), (3, "https://a.org/x")}
+
+
+def test_skips_count_events_without_their_pairs(spark):
+    """Events below a shared platform's path, and on a host else; many actions and events of one host make no pairs."""
+    from calendrix.operators import intake
+
+    at = "2024-01-30"
+    urls = ["https://lu.ma/a/1", "https://lu.ma/a", "https://lu.ma/ab", "https://site.example/x/y"]
+    events = spark.createDataFrame([(u, "web-search", at) for u in urls for _ in range(300)], "url string, source string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    asked = [(1, "https://lu.ma/a", None), (2, "https://lu.ma/b", None), (3, "https://site.example/q", None), (4, "https://none.example/", None), (5, "https://lu.ma/a/", None)]
+    actions = spark.createDataFrame(asked, "pos long, source_url string, reason string")
+    sources = spark.createDataFrame([("https://none.example/", "probation")], "url string, tier string")
+    out = intake.skip_results(actions, sources, events, F.lit("2024-01-31").cast("timestamp"))
+    assert {r.pos: r.result.startswith("Blocked") for r in out.collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+    met = spark.createDataFrame([(n, "https://site.example/q", None) for n in range(3000)], "pos long, source_url string, reason string")
+    assert rows_made(intake.skip_results(met, sources, events, F.lit("2024-01-31").cast("timestamp"))) < 20_000
+
+
+def rows_made(df):
+    """The most rows that a join of the plan puts out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
