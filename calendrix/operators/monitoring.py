@@ -222,19 +222,29 @@ def found_events(asked: DataFrame, events: DataFrame, title_chars: int = 30) ->
     """asked(id, url, title) with found_id: the least id of events(id, url, title) whose URL holds the
     asked one (normalised) or whose title holds the first characters of the asked title, in any case.
 
-    A text of PIECE characters or more begins with a piece that the event's text must have, and a shorter
-    one is such a piece as a whole: both meet on it, so that events are not held against every submission.
+    A text of PIECE characters or more is looked for by its rarest piece among those of the events' texts, and a shorter
+    one is a piece as a whole. Equal texts, of submissions and of events, are one, so that neither a
+    common piece nor a common text makes pairs.
     """
-    needles = asked.select(F.col("id").alias("asked_id"), F.explode(F.array(F.struct(F.lit("url").alias("kind"), normal_url(F.col("url")).alias("text")), F.struct(F.lit("title").alias("kind"), F.lower(F.substring("title", 1, title_chars)).alias("text")))).alias("x"))
-    needles = needles.select("asked_id", "x.kind", "x.text").where("text <> ''").withColumn("piece", F.substring("text", 1, PIECE))
-    texts = events.select(F.col("id").alias("event_id"), F.explode(F.array(F.struct(F.lit("url").alias("kind"), F.lower("url").alias("body")), F.struct(F.lit("title").alias("kind"), F.lower("title").alias("body")))).alias("x")).select("event_id", "x.kind", "x.body")
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - (PIECE - 1), F.lit(1))), lambda i: F.substring("body", i, F.lit(PIECE))))
-    long = needles.where(F.length("text") >= PIECE)
-    met = texts.where("body <> ''").withColumn("piece", F.explode(pieces)).join(long, ["kind", "piece"])
-    sizes = F.sequence(F.lit(1), F.least(F.length("body"), F.lit(PIECE - 1)))
-    cuts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substring(F.col("body"), i, n))))
-    short = texts.where("body <> ''").withColumn("piece", F.explode(F.array_distinct(cuts))).join(needles.where(F.length("text") < PIECE), ["kind", "piece"])
-    hits = met.select("asked_id", "event_id", "body", "text").union(short.select("asked_id", "event_id", "body", "text")).where(F.contains("body", F.col("text")))
+    both = lambda url, title: F.explode(F.array(F.struct(F.lit("url").alias("kind"), url.alias("text")), F.struct(F.lit("title").alias("kind"), title.alias("text"))))
+    needles = asked.select(F.col("id").alias("asked_id"), both(normal_url(F.col("url")), F.lower(F.substring("title", 1, title_chars))).alias("x")).select("asked_id", "x.*").where("text <> ''")
+    texts = events.select(F.col("id").alias("event_id"), both(F.lower("url"), F.lower("title")).alias("x")).where("event_id IS NOT NULL AND x.text <> ''")
+    # One event stands for all of one text: the least id. What is asked often is looked for once.
+    bodies = texts.groupBy("x.kind", F.col("x.text").alias("body")).agg(F.min("event_id").alias("event_id"))
+    wanted = needles.select("kind", "text").distinct()
+    cuts = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    pieces = lambda df, text: df.where(F.length(text) >= PIECE).withColumn("piece", F.explode(F.array_distinct(F.transform(cuts(text, PIECE), lambda p: F.xxhash64(p)))))
+    held = pieces(bodies, "body").select("kind", "piece", "event_id")
+    asked_pieces = pieces(wanted, "text").join(held.groupBy("kind", "piece").agg(F.count(F.lit(1)).alias("df")), ["kind", "piece"], "left")
+    rarest = asked_pieces.groupBy("kind", "text").agg(F.min(F.struct("df", "piece")).alias("r"), F.count_if(F.col("df").isNull()).alias("absent")).where("absent = 0")
+    met = rarest.select("kind", "text", F.col("r.piece").alias("piece")).join(held, ["kind", "piece"])
+    met = met.join(bodies, ["kind", "event_id"]).where(F.contains("body", F.col("text"))).select("kind", "text", "event_id")
+    short = wanted.where(F.length("text") < PIECE)
+    lengths = [r.n for r in short.select(F.length("text").alias("n")).distinct().collect()]  # below PIECE
+    for n in lengths:
+        own = bodies.where(F.length("body") >= n).select("kind", "event_id", F.explode(F.array_distinct(cuts("body", n))).alias("text"))
+        met = met.unionByName(own.join(short.where(F.length("text") == n), ["kind", "text"]))
+    hits = needles.join(met.groupBy("kind", "text").agg(F.min("event_id").alias("event_id")), ["kind", "text"])
     best = hits.groupBy(F.col("asked_id").alias("id")).agg(F.min("event_id").alias("found_id"))
     return asked.join(best, "id", "left")
 

@@ -246,3 +246,20 @@ def rows_made(df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return most
+
+
+def test_submissions_are_found_without_pairs_of_common_pieces(spark):
+    import random
+
+    from calendrix.operators import monitoring
+
+    rng = random.Random(4)
+    events = [(i, f"https://www.Example.com/en/{rng.randrange(900)}", rng.choice(["", f"Page {rng.randrange(400)} About", None])) for i in range(300)]
+    asked = [(i, rng.choice([None, "x", "https://www.example.com/en/" + str(rng.randrange(900)), "https://nowhere.example/1"]), rng.choice([None, "", "PAGE " + str(rng.randrange(400)), "no such title", "p"])) for i in range(300)]
+    got = monitoring.found_events(spark.createDataFrame(asked, "id long, url string, title string"), spark.createDataFrame(events, "id long, url string, title string"))
+    plain = lambda u: u and u.lower().replace("https://", "").replace("www.", "")
+    hit = lambda text, body: bool(text) and bool(body) and text in body.lower()
+    want = {i: min([e for e, eu, et in events if hit(plain(u), eu) or hit((t or "").lower()[:30], et)], default=None) for i, u, t in asked}
+    assert {r.id: r.found_id for r in got.collect()} == want
+    assert len(set(want.values())) > 20
+    assert rows_made(got) < 12_000
