@@ -263,3 +263,15 @@ def test_submissions_are_found_without_pairs_of_common_pieces(spark):
     assert {r.id: r.found_id for r in got.collect()} == want
     assert len(set(want.values())) > 20
     assert rows_made(got) < 12_000
+
+
+@pytest.mark.parametrize(("name", "column", "values"), [("severity_sort", "severity", {0: 100})])
+def test_whole_tables_are_asked(spark, tmp_path, name, column, values):
+    """Every order and every customer counts, whatever its key."""
+    import __spark_entry__ as driver
+
+    orders = spark.range(1, 151).selectExpr("id AS o_orderkey", "id % 15 + 1 AS o_custkey", "'F' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice", "TIMESTAMP '2001-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1, 16).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = [r[column] for r in driver.queries()[name](spark, str(tmp_path)).collect()]
+    assert {v: got.count(v) for v in values} == values
