@@ -265,7 +265,7 @@ def test_submissions_are_found_without_pairs_of_common_pieces(spark):
     assert rows_made(got) < 12_000
 
 
-@pytest.mark.parametrize(("name", "column", "values"), [("severity_sort", "severity", {0: 100})])
+@pytest.mark.parametrize(("name", "column", "values"), [("severity_sort", "severity", {0: 100}), ("plan_completion", "status", {"completed": 15, "pending": 0})])
 def test_whole_tables_are_asked(spark, tmp_path, name, column, values):
     """Every order and every customer counts, whatever its key."""
     import __spark_entry__ as driver
