@@ -2,9 +2,9 @@
 
 A multinomial logistic regression on word bigrams and trigrams tells the licence families and an
 unknown class apart. It is trained on windows of the families' whole texts (licence_texts) and
-notices, and on a bounded sample of the corpus' own paragraphs for the unknown class. A prediction
-counts if the probability of any family is above a level calibrated on unknown paragraphs that were
-not trained on, and it is confirmed if the paragraph and one of the family's paragraphs agree: the
+notices, and on all of the corpus' own paragraphs for the unknown class: those with the same n-grams are one row with
+its weight. A prediction counts if the probability of any family is above a level calibrated on the third of the unknown
+paragraphs that was not trained on, and it is confirmed if the paragraph and one of the family's paragraphs agree: the
 shorter one has SIMILAR or more of its five-word shingles in the other. Paragraphs that families
 share are found as one of them.
 """
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from calendrix.llm.common import durable, whole_text
 
-WORDS, SIMILAR, UNKNOWN, SAMPLE, VOCABULARY, QUANTILE = 5, 0.8, "unknown", 4000, 12_000, 0.999
+WORDS, SIMILAR, UNKNOWN, VOCABULARY, QUANTILE = 5, 0.8, "unknown", 12_000, 0.999
 #: Words that a paragraph of a licence text has at least; shorter ones are headings.
 SHORTEST = 8
 FITTING_TASKS, ROUNDS = 3, 20
+#: Rows of a fitting task, where that makes more tasks.
+FITTING_ROWS = 100_000
 #: Likeliest families whose paragraphs are compared.
 TRIED = 3
 
@@ -142,39 +144,48 @@ def _vocabulary(rows: DataFrame, each: int = VOCABULARY) -> list[str]:
     return [r.gram for r in best.select("gram").distinct().orderBy("gram").collect()]  # each * families at most
 
 
-def _unlike(plain: DataFrame, known: DataFrame) -> DataFrame:
-    """The paragraphs of plain(hash, words) that have less than half of their shingles in known(words):
+def _unknown(docs: DataFrame, texts: dict[str, list[str]], vocabulary: CountVectorizerModel) -> DataFrame:
+    """(_features, back, n): how often each set of n-grams is that of a line of docs in which neither licen nor copyright
+    occurs; back: of the third that is not trained on. Lines with half of their shingles or more in the texts are left out:
     licence texts of the corpus itself must not pass for unknown."""
-    theirs = known.select(F.explode(shingles(F.col("words"))).alias("s")).distinct()  # of the texts' size
-    own = plain.select("hash", F.size(shingles(F.col("words"))).alias("n"), F.explode(shingles(F.col("words"))).alias("s"))
-    alike = own.join(F.broadcast(theirs), "s", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).where("met * 2 >= n")
-    return plain.join(F.broadcast(alike.select("hash")), "hash", "left_anti")  # both of the sample's size
-
-
-def train(docs: DataFrame, texts: dict[str, list[str]] = TEXTS, sample: int = SAMPLE) -> LicenceModel:
-    """A model of the families of texts. sample bounds the corpus paragraphs used: those with the
-    least hashes, each taken once, in which neither licen nor copyright occurs and which are not like
-    one of the texts."""
+    known = templates(docs.sparkSession, texts).select(F.explode(shingles(F.col("words"))).alias("s")).distinct()
+    known = [r.s for r in known.collect()]  # of the texts' size
+    plain = F.filter(F.split(whole_text(docs), "\n"), lambda t: ~F.lower(t).contains("licen") & ~F.lower(t).contains("copyright"))
+    # Words leave the generator ready made, as in paragraphs().
+    lines = docs.select(F.explode(F.transform(plain, words_of)).alias("words")).where(F.size("words") > 0)
+    back = F.pmod(F.xxhash64("words", F.lit(1)), F.lit(3)) == 0
+    own = shingles(F.col("words"))
+    unlike = F.size(F.filter(own, lambda s: s.isin(known))) * 2 < F.size(own) if known else F.lit(True)
+    counted = vocabulary.transform(lines.where(unlike).select(back.alias("back"), grams(F.col("words")).alias("_grams")))
+    same = counted.groupBy(F.col("_features").cast("string").alias("key"), "back").agg(F.first("_features").alias("_features"), F.count(F.lit(1)).cast("double").alias("n"))
+    return same.select("_features", "back", "n")
+
+
+def train(docs: DataFrame, texts: dict[str, list[str]] = TEXTS) -> LicenceModel:
+    """A model of the families of texts; the unknown class is of all lines of docs but licence-like ones (_unknown). As
+    there are many more of these than of the texts' windows, all of them together weigh as much as all windows at most."""
     spark = docs.sparkSession
     families = sorted(texts)
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    known = _windows(templates(spark, texts)).select("words", number.alias("label"))
-    lines = docs.select(F.explode(F.split(whole_text(docs), "\n")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    plain = ~F.lower("text").contains("licen") & ~F.lower("text").contains("copyright")
-    # Hashes alone are made distinct; of the texts only the sample's are shuffled.
-    last = lines.where(plain).select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
-    picked = lines.where(F.col("hash") <= F.lit(last)).where(plain).dropDuplicates(["hash"]).withColumn("words", words_of(F.col("text")))
-    plain = _unlike(durable(picked.where(F.size("words") > 0).select("hash", "words")), templates(spark, texts))
-    plain = durable(plain.select("words", (F.pmod(F.xxhash64("words", F.lit(1)), F.lit(3)) == 0).alias("back")))
-    seed = spark.createDataFrame([(["of", "the", "and"],), (["no"],)], "words array<string>")  # for an empty corpus
-    rows = known.union(plain.where("not back").select("words").union(seed).select("words", F.lit(float(len(families)))))
-    # Some ten thousand rows: few partitions, as each sends a gradient of families * vocabulary in each round.
-    rows = durable(rows.withColumn("_grams", grams(F.col("words"))).coalesce(FITTING_TASKS))
-    vocabulary = CountVectorizerModel.from_vocabulary(_vocabulary(rows.where(F.col("label") < len(families))), "_grams", "_features")
+    known = _windows(templates(spark, texts)).select(grams(F.col("words")).alias("_grams"), number.alias("label"))
+    known = durable(known.coalesce(FITTING_TASKS))
+    vocabulary = CountVectorizerModel.from_vocabulary(_vocabulary(known), "_grams", "_features")
     vocabulary = vocabulary.setBinary(True)
-    regression = LogisticRegression(featuresCol="_features", family="multinomial", regParam=1e-4, maxIter=ROUNDS, tol=1e-4)
-    model = LicenceModel(families, vocabulary, regression.fit(vocabulary.transform(rows)), 0.5)
-    seen = model.probabilities(plain.where("back")).agg(F.percentile_approx("licence_p", QUANTILE, 10_000)).first()[0]
+    plain = durable(_unknown(docs, texts, vocabulary))
+    size = plain.where("not back").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
+    share = min(1.0, known.count() / size.n) if size.n else 1.0
+    seed = spark.createDataFrame([(["of", "the", "and"],), (["no"],)], "words array<string>")  # for an empty corpus
+    seed = vocabulary.transform(seed.select(grams(F.col("words")).alias("_grams"))).select("_features", F.lit(1.0).alias("weight"))
+    other = plain.where("not back").select("_features", (F.col("n") * share).alias("weight")).union(seed)
+    rows = vocabulary.transform(known).select("_features", "label", F.lit(1.0).alias("weight"))
+    rows = rows.union(other.select("_features", F.lit(float(len(families))), "weight"))
+    # Few partitions, as each sends a gradient of families * vocabulary in each round.
+    rows = durable(rows.repartition(max(FITTING_TASKS, -(-size.rows // FITTING_ROWS))))
+    regression = LogisticRegression(featuresCol="_features", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=ROUNDS, tol=1e-4)
+    model = LicenceModel(families, vocabulary, regression.fit(rows), 0.5)
+    scored = model.regression.transform(plain.where("back")).select("n", F.round(1 - F.element_at(vector_to_array("probability"), -1), 5).alias("p"))
+    by_level = scored.groupBy("p").agg(F.sum("n").cast("bigint").alias("n"))  # 100,001 rows at most
+    seen = by_level.agg(F.percentile("p", QUANTILE, F.col("n"))).first()[0]
     model.level = max(0.5, min(0.9, 1.05 * seen)) if seen is not None else 0.5
     return model
 
