@@ -72,11 +72,13 @@ TEXTS = licence_paragraphs()
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def grams(words: Column) -> Column:
-    """Bigrams and trigrams of a word array."""
+def grams(words: Column, of: list[str] | None = None) -> Column:
+    """Bigrams and trigrams of a word array; of: only those that have no other words than these."""
+    if of is not None:
+        return F.get(F.transform(F.array(F.transform(words, lambda w: F.when(w.isin(of), w))), _joined), F.lit(0))
     n = F.size(words)
     # get() costs the same for every i, where slice() reads the whole array each time.
     run = lambda k: F.transform(
@@ -85,6 +87,16 @@ def grams(words: Column) -> Column:
     return F.concat(run(2), run(3))
 
 
+def _joined(words: Column) -> Column:
+    """Bigrams and trigrams of a word array that have no null. Most words of a corpus are null here, so few strings are made."""
+
+    def at(word: Column, i: Column) -> Column:
+        pair = F.concat(word, F.lit(" "), F.get(words, i + 1))  # null if a word is
+        return F.when(word.isNotNull() & F.get(words, i + 1).isNotNull(), F.array(pair, F.concat(pair, F.lit(" "), F.get(words, i + 2))))
+
+    return F.array_compact(F.flatten(F.array_compact(F.transform(words, at))))
+
+
 def shingles(words: Column) -> Column:
     """Hashes of the five-word shingles; of all words if there are fewer."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WORDS, F.lit(0)))
@@ -122,10 +134,15 @@ class LicenceModel:
     regression: LogisticRegressionModel
     level: float
 
+    @property
+    def words(self) -> list[str]:
+        """The words of the vocabulary's n-grams."""
+        return sorted({word for gram in self.vocabulary.vocabulary for word in gram.split(" ")})
+
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """rows(words) with family_p (the probability of each family), best (the number of the
         likeliest) and licence_p (the probability of any)."""
-        counted = self.vocabulary.transform(rows.withColumn("_grams", grams(F.col("words"))))
+        counted = self.vocabulary.transform(rows.withColumn("_grams", grams(F.col("words"), self.words)))
         scored = self.regression.transform(counted).withColumn("_p", vector_to_array("probability"))
         known = F.slice("_p", 1, len(self.families))
         return (
@@ -147,17 +164,33 @@ def _vocabulary(rows: DataFrame, each: int = VOCABULARY) -> list[str]:
 def _unknown(docs: DataFrame, texts: dict[str, list[str]], vocabulary: CountVectorizerModel) -> DataFrame:
     """(_features, back, n): how often each set of n-grams is that of a line of docs in which neither licen nor copyright
     occurs; back: of the third that is not trained on. Lines with half of their shingles or more in the texts are left out:
-    licence texts of the corpus itself must not pass for unknown."""
-    known = templates(docs.sparkSession, texts).select(F.explode(shingles(F.col("words"))).alias("s")).distinct()
-    known = [r.s for r in known.collect()]  # of the texts' size
+    licence texts of the corpus itself must not pass for unknown.
+
+    Lines are read once, and become rows of the n-grams that have words of the texts only. A line with half of its
+    shingles in the texts has many of these; only where there are enough are the words kept for the comparison. Of k different
+    shingles in the texts, k + 3 bigrams and k + 2 trigrams are there, and a line has as many shingles as different words
+    less 4, or more.
+    """
+    own = templates(docs.sparkSession, texts)
+    of = sorted(r.w for r in own.select(F.explode("words").alias("w")).distinct().collect())  # of the texts' size
+    shortest = min((r.n for r in own.select(F.size("words").alias("n")).collect()), default=0)
     plain = F.filter(F.split(whole_text(docs), "\n"), lambda t: ~F.lower(t).contains("licen") & ~F.lower(t).contains("copyright"))
     # Words leave the generator ready made, as in paragraphs().
     lines = docs.select(F.explode(F.transform(plain, words_of)).alias("words")).where(F.size("words") > 0)
     back = F.pmod(F.xxhash64("words", F.lit(1)), F.lit(3)) == 0
-    own = shingles(F.col("words"))
-    unlike = F.size(F.filter(own, lambda s: s.isin(known))) * 2 < F.size(own) if known else F.lit(True)
-    counted = vocabulary.transform(lines.where(unlike).select(back.alias("back"), grams(F.col("words")).alias("_grams")))
-    same = counted.groupBy(F.col("_features").cast("string").alias("key"), "back").agg(F.first("_features").alias("_features"), F.count(F.lit(1)).cast("double").alias("n"))
+    lines = lines.select("words", back.alias("back"), grams(F.col("words"), of).alias("_grams"))
+    least = F.greatest(F.size(F.array_distinct("words")) + 1, F.lit(2 * WORDS - 3))
+    near = F.when(F.size("words") >= WORDS, F.size("_grams") >= least).otherwise(F.lit(0 < shortest < WORDS))
+    keys = [F.array_sort(F.array_distinct("_grams")).alias("_grams"), "back", F.when(near, F.col("words")).alias("words")]
+    counts = durable(lines.select(*keys).groupBy("_grams", "back", "words").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    known = own.select(F.explode(shingles(F.col("words"))).alias("s")).distinct().withColumn("met", F.lit(1))
+    compared = counts.where("words IS NOT NULL").select("words").distinct().select("words", F.explode(shingles(F.col("words"))).alias("s"))
+    compared = compared.join(F.broadcast(known), "s", "left").groupBy("words").agg(F.count("met").alias("met"), F.count(F.lit(1)).alias("all"))
+    like = compared.where("met * 2 >= all").select("words")
+    # Most rows have no words here, and would all meet in one task of the join.
+    kept = counts.where("words IS NULL").unionByName(counts.where("words IS NOT NULL").join(like, "words", "left_anti"))
+    counted = vocabulary.transform(kept)
+    same = counted.groupBy(F.col("_features").cast("string").alias("key"), "back").agg(F.first("_features").alias("_features"), F.sum("n").alias("n"))
     return same.select("_features", "back", "n")
 
 
