@@ -18,7 +18,6 @@ from __future__ import annotations
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -28,6 +27,8 @@ from calendrix.llm.common import durable, fresh, sliced, texts_of, whole_text
 from calendrix.llm.components import connected_components
 
 WORDS, RADIUS, SEED, BUCKET = 4, 4, 42, 4096
+#: Shares of buckets for each shuffle partition, at least, and rows of a share, about.
+SHARES, SHARE_ROWS = 4, 1 << 16
 #: Shingles of one text hashed at a time, so that a very long text needs no more memory.
 CHUNK = 1 << 16
 
@@ -88,22 +89,16 @@ def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _search(radius: int):
-    """For rows sorted by bucket (t, k); a bucket may span batches."""
+    """For all rows (t, k, x) of some whole buckets, in any order."""
 
-    def emit(links):
-        return pd.DataFrame(np.array(links, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
-
-    def run(batches):
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            t, k, x = pdf.t.to_numpy(), pdf.k.to_numpy(), pdf.x.to_numpy().view(np.uint64)
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            rest = pdf.iloc[last:]
-            yield emit([link for part in np.split(x[:last], cuts[:-1]) for link in _forest(part, radius)])
-        if rest is not None:
-            yield emit(_forest(rest.x.to_numpy().view(np.uint64), radius))
+    def run(rows: pa.Table) -> pa.Table:
+        t, k, x = (rows[c].to_numpy() for c in ("t", "k", "x"))
+        order = np.lexsort((k, t))
+        t, k, x = t[order], k[order], x[order].view(np.uint64)
+        cuts = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1
+        found = [link for part in np.split(x, cuts) for link in _forest(part, radius)]
+        found = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
@@ -134,9 +129,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
         keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).where("n > 1")
     )
     twos = counts.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    some = keyed.join(counts.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("t", "k"), ["t", "k"])
-    some = some.repartition("t", "k").sortWithinPartitions("t", "k").select("t", "k", "x")
-    found = twos.union(some.mapInPandas(_search(radius), "a bigint, b bigint"))
+    small = counts.where((F.col("n") > 2) & (F.col("n") <= bucket))
+    # Grouped, not dealt and sorted: Spark leaves out a repartition by the keys of the join before it, and then may join
+    # by a broadcast, which reads a bucket's rows in several tasks. A share is many buckets, as each group has its cost.
+    rows = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = max(SHARES * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARE_ROWS))
+    some = keyed.join(small.select("t", "k"), ["t", "k"]).withColumn("share", F.pmod(F.xxhash64("t", "k"), F.lit(shares)))
+    found = twos.union(some.groupBy("share").applyInArrow(_search(radius), "a bigint, b bigint"))
     large = counts.where(F.col("n") > bucket).select("t", "k")
     if not large.isEmpty():
         found = found.union(_by_midpoints(keyed.join(large, ["t", "k"]).select("x").distinct(), radius))
